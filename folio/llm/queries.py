@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_substring_dedup"] = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), starts AS (
   SELECT doc_id, unnest(range(1, len(words) - 18)) AS p FROM w
 ), wins AS (
@@ -42,3 +42,47 @@ WITH w AS (
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(l.t, '')) AS kept_sha256
 FROM w LEFT JOIN left_over l USING (doc_id)
 """
+
+
+@_query
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op10_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.sharding import shard
+
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
+
+
+ORACLES["op6_sharding"] = r"""
+WITH s AS (
+  SELECT doc_id, k, -1.0 / ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score
+  FROM documents, (SELECT unnest(range(17)) AS k)
+), b AS (
+  SELECT doc_id, CAST(arg_max(k, score) FILTER (k < 16) AS INTEGER) AS shard, CAST(arg_max(k, score) AS INTEGER) AS grown_shard FROM s GROUP BY doc_id
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i)
+  )
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS v FROM documents
+), sums AS (
+  SELECT doc_id, CAST(len(v) + 1 AS BIGINT) AS size, xor(list_reduce(v, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM bytes, crc
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM b JOIN sums USING (doc_id)
+"""
