@@ -86,3 +86,10 @@ WITH s AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
 FROM b JOIN sums USING (doc_id)
 """
+
+
+@_query
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.simhash import simhash_dedup
+
+    return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
