@@ -152,6 +152,7 @@ def _links(key: np.ndarray, prints: np.ndarray, filed: np.ndarray, limit: int) -
 
 def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(a, b): links between the distinct longs of column fp that connect all that differ in at most `limit` (3) bits."""
+    ship(prints.sparkSession)
     if not 0 <= limit <= LIMIT:
         raise ValueError("the segments find at most 3 differing bits")
 
