@@ -93,3 +93,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.simhash import simhash_dedup
 
     return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op3_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.doc_fingerprint import fingerprint
+
+    return fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
