@@ -106,5 +106,6 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     maybe = tested.where("maybe")
     best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"))).alias("best")
     groups = maybe.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).select("sha", (-F.col("best.minus")).alias("keep_id"), "group_size")
+    groups = materialize(groups, "groups")  # both sides of the join are then exchanged, and Spark splits a hot group's rows
     joined = maybe.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), hexed)
     return alone.unionByName(joined)

@@ -211,6 +211,7 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     named = roots.join(distinct, "fp")
     names = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     groups = distinct.join(names, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    groups = materialize(groups, "groups")  # both sides of the join are then exchanged, and Spark splits a hot group's rows
     return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
