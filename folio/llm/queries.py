@@ -100,3 +100,10 @@ def op3_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.doc_fingerprint import fingerprint
 
     return fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
