@@ -107,3 +107,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.warc import round_trip
 
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folio.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
