@@ -116,3 +116,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.packing import pack
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.language_id import identify
+
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
