@@ -11,7 +11,8 @@ pointers; the language with the fewest wins, ties go to the first by name. The s
 counts: 0.5 for a tie, near 1 for a clear case, 1 if only one language was learned. All languages and many segments are
 stepped together by table look-ups, so Python code runs per code point of a segment, not of a text.
 
-Text is lower-cased, white space is one symbol, and symbols outside the SYMBOLS most frequent of the samples never match.
+Text is lower-cased, each run of other characters than letters counts as one blank, and symbols outside the SYMBOLS
+most frequent of the samples never match.
 A null text, one without a letter, or a model without a language gives `und` with score 0. held_out is
 crc32(doc_id as text) mod 4 = 2, false for a null doc_id. Rows that repeat a doc_id are judged alone. Empty tables give empty results.
 """
@@ -31,7 +32,7 @@ from folio.llm._common import ship, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT, SYMBOLS = 80, 24_000, 256, 95
 _LETTER = re.compile(r"[^\W\d_]")
-_BLANK = re.compile(r"\s")
+_OTHER = re.compile(r"[\W\d_]+")
 _GROUP = 8192
 _built: dict[tuple, Model] = {}
 
@@ -71,16 +72,14 @@ class Model:
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
-        texts = [_BLANK.sub(" ", text.lower()) for _, text in samples]
+        texts = [_OTHER.sub(" ", text.lower()) for _, text in samples]
         count = Counter(c for t in texts for c in t)
         self.known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
         self.width = len(self.known) + 1  # 0 is any other symbol
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.blank = self.known.index(" ") + 1 if " " in self.known else 0
+        self.symbol = np.fromiter((0 if chr(i).isalpha() else self.blank for i in range(0x110000)), np.uint8, 0x110000)
         for i, c in enumerate(self.known):
             self.symbol[ord(c)] = i + 1
-        for c in map(chr, range(0x3001)):
-            if c.isspace() and " " in self.known:
-                self.symbol[ord(c)] = self.known.index(" ") + 1
         self.cost = np.array([np.log2(len(t) + 2) for t in texts])
         self.roots, tables, at = [], [], 0
         for t in texts:
@@ -100,7 +99,13 @@ class Model:
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def _symbols(self, text: str) -> np.ndarray:
-        return self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        """Symbols of a lower-case text, with one blank for each run of other characters than letters."""
+        found = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if self.blank and len(found):
+            again = np.zeros(len(found), bool)
+            again[1:] = (found[1:] == self.blank) & (found[:-1] == self.blank)
+            found = found[~again]
+        return found
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """The number of phrases of each text in each language."""
