@@ -123,3 +123,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.language_id import identify
 
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folio.llm.sentencepiece_codec import code
+
+    return code(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
