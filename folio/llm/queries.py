@@ -132,3 +132,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.sentencepiece_codec import code
 
     return code(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.line_dedup import line_dedup
+
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
