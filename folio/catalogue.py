@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folio.plans import fixtures, tables
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = tables.QUERIES | fixtures.QUERIES
+ORACLES = tables.ORACLES | fixtures.ORACLES
