@@ -308,5 +308,5 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     out = mark(docs, key, text, window, per_group, schema)
     if "n_chars" in docs.columns and docs.schema["n_chars"].dataType in (T.LongType(), T.IntegerType()):
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

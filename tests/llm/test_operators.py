@@ -44,7 +44,8 @@ def closure(nodes, pairs):
 
     def find(x):
         while root[x] != x:
-            x = root[x] = root[root[x]]
+            root[x] = root[root[x]]
+            x = root[x]
         return x
 
     for a, b in pairs:
@@ -68,7 +69,7 @@ def test_substring_dedup(docs, rows, odd):
         expected[i] = (len(words), sum(goes), hashlib.sha256(b" ".join(w for w, g in zip(words, goes, strict=True) if not g)).hexdigest())
     assert {r[0]: tuple(r)[1:] for r in S.digest(docs).collect()} == expected
     out = S.substring_dedup(docs)
-    assert out.columns == docs.columns and all(r.n_chars == len(r.text or "") for r in out.collect())
+    assert out.columns == docs.columns and all(r.n_chars == len(r.text or "") for r in out.collect())  # 0 was the value of the null text
     assert S.digest(odd).count() == 5 and not S.digest(odd.limit(0)).collect()
 
 
