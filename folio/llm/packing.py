@@ -18,64 +18,133 @@ like any other. Rows that repeat a doc_id are documents of their own. An empty t
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm._common import materialize, ship, utf8
+from folio.llm._common import materialize, raw, ship, utf8
 
 CAPACITY, CLASSES, DEPTH = 4096, 128, 3
-#: Words whose ids a Python worker keeps at a time (at most about 150 MB).
-CACHE_WORDS = 400_000
-_words: dict[bytes, bytes] = {}
+#: Parts of words whose ids a Python worker keeps: two generations of so many each, the older of which goes when the
+#: younger is full (at most about 150 MB in all).
+CACHE_PARTS = 400_000
+#: Bytes of text whose words are told apart at a time.
+SLICE_BYTES = 8 << 20
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_BLANK, _LETTER, _MARK, _OTHER = range(4)
+#: What a byte is: < may begin a special token and ' a contraction, so they are no marks.
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[list(b" \t\n\x0b\x0c\r")] = _BLANK
+_KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KIND[list(b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")] = _MARK
+#: Second bytes, after C3, of the letters of Latin-1; of the capitals among them and of A to Z, what makes them small.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_SMALL = np.zeros(256, np.uint8)
+_SMALL[0x41:0x5B] = 32
+_SMALL[0x80:0x9F] = 32
+
+
+def word_parts(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of the words of texts (UTF-8 data; text k is data[offs[k]:offs[k + 1]], offs from 0), and at which part each
+    text begins and the last ends. A word of nothing but letters of Latin-1 and ASCII marks is cut where these meet, as the
+    tokenizer cuts it, and made small; any other word (digits, apostrophes, other scripts) is one part, unchanged."""
+    kind = _KIND[data]
+    leads = np.flatnonzero(data[:-1] == 0xC3)
+    leads = leads[_SECOND[data[leads + 1]]]
+    kind[leads] = kind[leads + 1] = _LETTER
+    inside = kind != _BLANK
+    fresh = np.zeros(len(data) + 1, bool)  # a text begins
+    fresh[offs] = True
+    fresh = fresh[:-1]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | fresh[1:]
+    words = np.flatnonzero(begins)
+    if not len(words):
+        return pa.array([], pa.binary()), np.zeros(len(offs), np.int64)
+    data, kind, begins = data[inside], kind[inside], begins[inside]
+    firsts = np.flatnonzero(begins)
+    other = np.repeat(np.maximum.reduceat(kind, firsts) == _OTHER, np.diff(firsts, append=len(data)))
+    data = np.where(other | (kind != _LETTER), data, data + _SMALL[data])
+    begins[1:] |= (kind[1:] != kind[:-1]) & ~other[1:]
+    starts = np.flatnonzero(begins)
+    parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+    return parts, np.append(np.searchsorted(starts, firsts), len(starts))[np.searchsorted(words, offs)]
+
+
+class WordIds:
+    """Ids of words. The tokenizer drops white space and never joins across it, nor between letters and marks, so
+    parts of words are encoded once each. Runs of letters go to its merges at once; all else goes its whole way."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def part(self, part: bytes) -> bytes:
+        """The ids of a part that is not among the younger generation."""
+        found = self.old.get(part)
+        if found is None:
+            text = part.decode()
+            if part.isalpha():  # letters of ASCII only
+                ids = [t.id for t in self.merges.tokenize(text)]
+            elif _LETTERS.fullmatch(text):
+                ids = [t.id for t in self.merges.tokenize(text.translate(self.table))]
+            else:
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+        if len(self.young) >= CACHE_PARTS:
+            self.young, self.old = {}, self.young
+        self.young[part] = found
+        return found
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of each of a few texts the ids as native unsigned 32-bit numbers."""
+        data, offs = raw(texts)
+        parts, ends = word_parts(data[offs[0] : offs[-1]], offs - offs[0])
+        parts = parts.dictionary_encode()
+        found = [self.young.get(p) or self.part(p) for p in parts.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        index = parts.indices.to_numpy()
+        n = sizes[index]
+        before = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1])]
+        for low, high in zip(before[ends[:-1]].tolist(), before[ends[1:]].tolist(), strict=True):
+            yield ids[low:high].tobytes()
 
 
 @cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def word_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Of each text the ids as little-endian unsigned 32-bit numbers. The tokenizer drops white space and never joins
-    across it, so each word is encoded once."""
-    cached = _words
-    for text in texts:
-        words = text.split()
-        new = [w for w in set(words) if w not in cached]
-        if new:
-            if len(cached) + len(new) > CACHE_WORDS:
-                cached.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for w, e in zip(part, _tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    cached[w] = np.array(e.ids, "<u4").tobytes()
-        yield b"".join([cached[w] for w in words])
-
-
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: str, end: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each document's pieces."""
-    last = np.array([end], "<u4").tobytes()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            texts = [t.as_buffer().to_pybytes() for t in utf8(b.column(1))]
-            for doc, ids in zip(b.column(0).to_pylist(), word_ids(texts, tokenizer), strict=True):
-                ids += last
-                rows += [(doc, i // (4 * capacity), i // 4, len(p := ids[i : i + 4 * capacity]) // 4, zlib.crc32(p)) for i in range(0, len(ids), 4 * capacity)]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """Of each text (large_string) the ids as native unsigned 32-bit numbers, by slices of about SLICE_BYTES."""
+    ids = _word_ids(path)
+    _, offs = raw(texts)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offs, offs[low] + SLICE_BYTES, side="right")) - 1)
+        yield from ids.texts(texts.slice(low, high - low))
+        low = high
 
 
 def patterns(classes: int, depth: int) -> list[tuple[int, ...]]:

@@ -134,6 +134,28 @@ def test_packing(docs, rows, odd):
     assert P.pack(odd, path).count() == 5 and not P.pack(odd.limit(0), path).collect()
 
 
+def test_word_ids_are_the_tokenizers():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from folio.llm import packing as P
+
+    odd = [
+        "E\u0301\u0301x, H\u0331o it's don't \u0130stanbul \ufb01x a.b,c <|endoftext|> foo<|endoftext|>, <|EndOfText|>",
+        "K\u0308elvin \u00b5m \u00aa\u00b2, 12,3 \u00d7\u00f7 \u00ff. \u0178! \u201cq\u201d x\u2019s 'S A'S, e\u0301...\u00e9\u2026 a\u0301. b-\u0301 \x85 \xa0 \x00 z",
+        "",
+        "\u03a3\u0391\u03a3, \u03c2. \u65e5\u672c\u8a9e\u3001 \uff76\uff9e! \U0001f600!! a\U0001f600. \x1c\x1d x\x1fy \u00df. \u1e9e",
+        " \n\t",
+        "na\u00efve's, l'\u00e9t\u00e9. L'\u00c9T\u00c9, O'REILLY'LL. re'VE \u00c9T\u00c9!? \u00c3\u00a9 (A)[b]\\c~",
+    ]
+    tokenizer = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(5)
+    texts = odd + ["".join(r.choice("aZ\u00e9\u00c9\u00d7\u0301 .,'<|>19\n\u00df\u0153") for _ in range(r.randrange(60))) for _ in range(3000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in P.word_ids(pa.array(["skipped", *texts], pa.large_string()).slice(1), path)]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 40, 20_000])
 def test_packing_plan_is_whole_and_near_the_bound(n):
     from folio.llm import packing as P
