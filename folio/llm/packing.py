@@ -147,6 +147,22 @@ def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
         low = high
 
 
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: str, end: int = 1) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of each document's pieces."""
+    last = np.array([end], "<u4").tobytes()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, ids in zip(b.column(0).to_pylist(), word_ids(utf8(b.column(1)), tokenizer), strict=True):
+                ids += last
+                rows += [(doc, i // (4 * capacity), i // 4, len(p := ids[i : i + 4 * capacity]) // 4, zlib.crc32(p)) for i in range(0, len(ids), 4 * capacity)]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
 def patterns(classes: int, depth: int) -> list[tuple[int, ...]]:
     """All descending tuples of at most `depth` classes (1 up) that sum to `classes`."""
 
