@@ -290,6 +290,29 @@ def test_sentencepiece_codec(docs):
         assert C.load(path).decode(C.load(path).encode(text)[0]) == text
 
 
+def test_sentencepiece_scores_are_the_librarys(rows):
+    """The library's own unigram segmentation of the same pieces has the same score. Its sums are 32-bit floats, so the
+    scores of -1e9 that the model gives to runs of blanks are replaced on both sides."""
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    from folio.llm import sentencepiece_codec as C
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    model.trainer_spec.model_type = 1
+    for p in model.pieces:
+        p.score = max(p.score, -31741.0)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    kinds = {1: "normal", 2: "unknown", 3: "control", 6: "byte"}
+    codec = C.Codec([(p.piece, p.score, kinds[p.type]) for p in model.pieces])
+    total = lambda ids: sum(model.pieces[i].score for i in ids)
+    lines = [line for _, t in rows for line in (t or "").split("\n") if line.strip()] + ["Ertion on  the it", "déjà vu, zwölf", "1,234.5 (x)"]
+    for line in lines:
+        assert total(np.frombuffer(codec.encode(line)[0], np.uint32).tolist()) == total(library.encode(line)), line
+
+
 def test_warc(spark):
     from folio.llm import warc as W
 
