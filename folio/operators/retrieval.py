@@ -1,7 +1,9 @@
 """Hybrid retrieval: BM25 and k-NN arms, union, re-rank, top k, and its evaluation.
 
-Query sides are the small ones: a batch of queries is broadcast only as an aggregate of fixed size (one vector, or the terms of one
-query); statistics are aggregates over terms; ranks are limited in each task before rows are shuffled."""
+A query table has a row for each query, told apart by `query_id`; every result has that column, and ranks are within a query. A table
+without it is numbered row by row, so no query is lost; where results are joined later, give the ids. Query sides are the small ones:
+their vectors or terms are broadcast or joined by term; statistics are aggregates over terms, and ranks are limited in each task
+before rows are shuffled."""
 
 from __future__ import annotations
 
@@ -29,20 +31,25 @@ def term_stats(post: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFra
     return stats, corpus.crossJoin(F.broadcast(mean))
 
 
+def named(query: DataFrame) -> DataFrame:
+    """The query table with a query_id."""
+    return query if "query_id" in query.columns else query.withColumn("query_id", F.monotonically_increasing_id())
+
+
 def bm25(chunks: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score rounded to 6 places) of the chunks that have a term of the query, one row with column `query`. A repeated term counts again."""
+    """(query_id, key, score rounded to 6 places) of the chunks that have a term of the query (column `query`). A repeated term counts again."""
     post = postings(chunks, key, text)
     stats, corpus = term_stats(post, key)
-    wanted = query.select(F.explode(tokens(F.col("query"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    wanted = named(query).select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     length = post.groupBy(key).agg(F.sum("tf").alias("dl"))
     hits = post.join(wanted, "term").join(stats, "term").join(length, key).crossJoin(F.broadcast(corpus))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(key).agg(F.round(F.sum(weight), 6).alias("score"))
+    return hits.groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first k rows in this order, with their rank from 1. The limit comes first, so the rank is over k rows."""
-    return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    """The first k rows of each query in this order, with their rank from 1. Spark limits the groups of a rank in each task first."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def bm25_top(chunks: DataFrame, query: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,17 +57,17 @@ def bm25_top(chunks: DataFrame, query: DataFrame, k: int = 10, key: str = "doc_i
 
 
 def knn(vectors: DataFrame, query: DataFrame, k: int = 10, metric: str = "l2", key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(key, score, rank) of the k nearest vectors to one query vector (a row with column `q`), exactly. l2: squared distance."""
-    pairs = vectors.crossJoin(F.broadcast(query.limit(1)))
+    """(query_id, key, score, rank) of the k nearest vectors to each query vector (column `q`), exactly. l2: squared distance."""
+    pairs = vectors.crossJoin(F.broadcast(named(query).select("query_id", "q")))
     score = F.round((squared_l2 if metric == "l2" else cosine)(F.col(column), F.col("q")), 6)
     order = [F.asc("score") if metric == "l2" else F.desc_nulls_last("score"), F.asc(key)]
-    return top(pairs.select(key, score.alias("score")), k, *order)
+    return top(pairs.select("query_id", key, score.alias("score")), k, *order)
 
 
 def knn_by(vectors: DataFrame, query: DataFrame, group: str, k: int = 3, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The k nearest vectors of each group."""
-    pairs = vectors.crossJoin(F.broadcast(query.limit(1))).select(group, key, F.round(squared_l2(F.col(column), F.col("q")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("score", key))
+    """The k nearest vectors of each group, for each query."""
+    pairs = vectors.crossJoin(F.broadcast(named(query).select("query_id", "q"))).select("query_id", group, key, F.round(squared_l2(F.col(column), F.col("q")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", group).orderBy("score", key))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -80,15 +87,16 @@ def hybrid(arms: dict[str, DataFrame]) -> DataFrame:
 
 
 def rerank(candidates: DataFrame, chunks: DataFrame, query: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The k candidates whose texts overlap most with the query."""
-    rows = candidates.join(chunks.select(key, text), key).crossJoin(F.broadcast(query.limit(1)))
-    scored = rows.select(key, "origin", F.round(jaccard(F.col("query"), F.col(text)), 6).alias("score"))
+    """Of each query's candidates the k whose texts overlap most with it. Candidates and queries both have a query_id."""
+    rows = candidates.join(chunks.select(key, text), key).join(F.broadcast(query.select("query_id", "query")), "query_id")
+    scored = rows.select("query_id", key, "origin", F.round(jaccard(F.col("query"), F.col(text)), 6).alias("score"))
     return top(scored, k, F.desc("score"), F.asc(key), F.asc("origin"))
 
 
 def evaluate(results: DataFrame, query: DataFrame, column: str = "embedding") -> DataFrame:
-    """(avg_cosine, max_cosine, diversity): results are a top k with `rank`; diversity is null for fewer than two."""
-    sims = results.crossJoin(F.broadcast(query.limit(1))).agg(F.round(F.avg(cosine(F.col(column), F.col("q"))), 6).alias("avg_cosine"), F.round(F.max(cosine(F.col(column), F.col("q"))), 6).alias("max_cosine"))
-    a, b = results.select(F.col("rank").alias("i"), F.col(column).alias("va")), results.select(F.col("rank").alias("j"), F.col(column).alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("i") < F.col("j")).agg(F.round(1 - F.avg(cosine(F.col("va"), F.col("vb"))), 6).alias("diversity"))
-    return sims.crossJoin(pairs)
+    """(query_id, avg_cosine, max_cosine, diversity): results are each query's top k with `rank`; diversity is null for fewer than two."""
+    c = cosine(F.col(column), F.col("q"))
+    sims = results.join(F.broadcast(query.select("query_id", "q")), "query_id").groupBy("query_id").agg(F.round(F.avg(c), 6).alias("avg_cosine"), F.round(F.max(c), 6).alias("max_cosine"))
+    a, b = results.select("query_id", F.col("rank").alias("i"), F.col(column).alias("va")), results.select("query_id", F.col("rank").alias("j"), F.col(column).alias("vb"))
+    pairs = a.join(b, "query_id").where("i < j").groupBy("query_id").agg(F.round(1 - F.avg(cosine(F.col("va"), F.col("vb"))), 6).alias("diversity"))
+    return sims.join(pairs, "query_id", "left")

@@ -54,3 +54,25 @@ def test_bm25_scores(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "b c"), (3, "c d"), (4, "c c e"), (5, "f")], "doc_id long, text string")
     query = spark.createDataFrame([("a c",)], "query string")
     assert [(r.doc_id, r.score) for r in bm25_top(docs, query).orderBy("rank").collect()] == [(1, 1.408905), (4, 0.200127), (2, 0.163618), (3, 0.163618)]
+
+
+def test_each_row_of_a_query_table_is_answered_by_itself(spark):
+    from folio.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b c"), (3, "c d"), (4, "c c e"), (5, "f")], "doc_id long, text string")
+    asked = [(7, "a c"), (8, "f e"), (9, "d")]
+    batch = spark.createDataFrame(asked, "query_id long, query string")
+    sorted_rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    single = [row for i, text in asked for row in sorted_rows(R.bm25_top(docs, spark.createDataFrame([(i, text)], batch.schema)))]
+    assert sorted_rows(R.bm25_top(docs, batch)) == single and {row[0] for row in single} == {7, 8, 9}
+    arms = R.hybrid({"x": docs.crossJoin(batch.select("query_id")).select("query_id", "doc_id")})
+    best = {r.query_id: r.doc_id for r in R.rerank(arms, docs, batch, k=1).collect()}
+    assert best == {7: 1, 8: 5, 9: 3}
+
+    vectors = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(6)], "vec_id long, label int, embedding array<double>")
+    points = spark.createDataFrame([(1, [0.2, 1.0]), (2, [4.9, 1.0])], "query_id long, q array<double>")
+    near = R.knn(vectors, points, k=2)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in near.collect()) == [(1, 1, 0), (1, 2, 1), (2, 1, 5), (2, 2, 4)]
+    assert sorted((r.query_id, r.label, r.vec_id) for r in R.knn_by(vectors, points, "label", k=1).collect()) == [(1, 0, 0), (1, 1, 1), (2, 0, 4), (2, 1, 5)]
+    assert R.evaluate(near.join(vectors, "vec_id"), points).count() == 2
+    assert R.knn(vectors, points.drop("query_id"), k=2).count() == 4
