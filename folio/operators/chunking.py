@@ -27,6 +27,12 @@ def fold_packs(pieces: Column, size: int) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
 
 
+def pack_lines(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """(doc_id, pos, text): the lines of each text that are not empty, packed by fold_packs."""
+    pieces = F.filter(F.split(F.col(text), "\n"), lambda x: x != "")
+    return docs.select("doc_id", F.posexplode(fold_packs(pieces, size)).alias("pos", "text"))
+
+
 def fixed(docs: DataFrame, size: int, separator: str = "\n\n", text: str = "text") -> DataFrame:
     """(doc_id, pos, text): pieces between separators joined greedily while the chunk stays within the size; a longer
     piece stays whole."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import levenshtein_similarity
+from folio.functions.text import fuzzy_match, levenshtein_similarity
 from folio.functions.vectors import cosine
 from folio.operators import lines as L
 from folio.operators import retrieval as R
@@ -340,3 +340,28 @@ def rerank_topk_batch(spark, sf_dir):
 @query(f"WITH {_VECTORS_BATCH} SELECT query_id, label, round(avg(cos), 6) AS avg_cosine, round(max(cos), 6) AS max_cosine FROM s GROUP BY 1, 2")
 def cosine_by_label_batch(spark, sf_dir):
     return _by_label(spark, sf_dir, _query_vectors(spark, sf_dir))
+
+
+# Chunkers and heading match over all documents; the queries of the same names without _documents are over literals.
+
+
+@query()
+def chunk_fixed_documents(spark, sf_dir):
+    from folio.operators.chunking import fixed
+
+    return fixed(table(spark, sf_dir, "documents"), 500)
+
+
+@query()
+def pack_simple_documents(spark, sf_dir):
+    from folio.operators.chunking import pack_lines
+
+    return pack_lines(table(spark, sf_dir, "documents"), 500)
+
+
+@query()
+def fuzzy_heading_match_documents(spark, sf_dir):
+    """The first line of each benchmark item as heading, each document as the text that may start with it: all pairs."""
+    heads = table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
+    pairs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(heads))
+    return pairs.select("doc_id", "item_id", fuzzy_match(F.col("head"), F.col("text")).alias("m")).select("doc_id", "item_id", "m.matched", "m.end")

@@ -76,3 +76,84 @@ def test_each_row_of_a_query_table_is_answered_by_itself(spark):
     assert sorted((r.query_id, r.label, r.vec_id) for r in R.knn_by(vectors, points, "label", k=1).collect()) == [(1, 0, 0), (1, 1, 1), (2, 0, 4), (2, 1, 5)]
     assert R.evaluate(near.join(vectors, "vec_id"), points).count() == 2
     assert R.knn(vectors, points.drop("query_id"), k=2).count() == 4
+
+
+def _pack(pieces, size):
+    out, now = [], None
+    for p in pieces:
+        if now is None:
+            now = p
+        elif len(now) < size and len(p) < 0.8 * size and (len(now) <= 0.8 * size or "\n\n" in now):
+            now += "\n\n" + p
+        else:
+            out, now = [*out, now], p
+    return out + ([] if now is None else [now])
+
+
+def _fixed(pieces, size):
+    out, now = [], None
+    for p in pieces:
+        if now is not None and len(now) + 2 + len(p) <= size:
+            now += "\n\n" + p
+        else:
+            out, now = out + ([] if now is None else [now]), p
+    return out + ([] if now is None else [now])
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """Documents of the smallest table, and long texts, nulls, empty texts and many pieces, as a folder of tables."""
+    folder = tmp_path_factory.mktemp("tables")
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    odd = [None, "", "\n\n\n", "x" * 5000, "\n\n".join("ab" * (i % 90) for i in range(900)), "\n".join("y" * (i * 37 % 620) for i in range(400)), "Ü\n\nß"]
+    rows = real + [(1000 + i, t) for i, t in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    heads = [(i, (t or "").split("\n")[0][: 20 + i]) for i, t in enumerate(t for _, t in real[:8])] + [(90, "Ü"), (91, "9.1 A x"), (92, "")]
+    spark.createDataFrame([(i, h + "\nmore") for i, h in heads], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder), rows, heads
+
+
+@pytest.mark.parametrize("name, separator, fold", [("chunk_fixed_documents", "\n\n", _fixed), ("pack_simple_documents", "\n", _pack)])
+def test_documents_are_chunked_whole(spark, texts, name, separator, fold):
+    folder, rows, _ = texts
+    expected = sorted((i, n, c) for i, t in rows if t for n, c in enumerate(fold([p for p in t.split(separator) if p], 500)))
+    found = catalogue.QUERIES[name](spark, folder)
+    assert sorted((r.doc_id, r.pos, r.text) for r in found.collect()) == expected
+
+
+def test_headings_are_matched_with_whole_documents(spark, texts):
+    import re
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def match(head, text):
+        n = len(head)
+        if text.startswith(head):
+            return True, n
+        bare = re.sub(r"\s", "", head)
+        if bare and re.sub(r"\s", "", text[: 2 * n]).startswith(bare):
+            return True, next(e for e in range(2 * n + 1) if re.sub(r"\s", "", text[:e]) == bare)
+        if re.match(r"\d+\.\d+\.\d+", text):
+            return False, -1
+        mark = re.search(r"[^\w\s（）()、.\-—]", text)
+        if mark and mark[0] in "。！？，,":
+            return False, -1
+        if "." in head and head.split(" ")[0] == text.split(" ")[0]:
+            return True, min(n, len(text))
+        if n and 1 - distance(head, text[:n]) / n >= 0.8:
+            ends = [e for e in range(max(n - 2, 1), n + 3) if e <= len(text)]
+            return True, min((distance(head, text[:e]), abs(e - n), e) for e in ends)[2] if ends else n
+        return False, -1
+
+    folder, rows, heads = texts
+    found = {(r.doc_id, r.item_id): (r.matched, r.end) for r in catalogue.QUERIES["fuzzy_heading_match_documents"](spark, folder).collect()}
+    assert len(found) == len(rows) * len(heads)
+    assert {k: found[k] for k in found if dict(rows)[k[0]] is not None} == {(i, j): match(h, t) for i, t in rows if t is not None for j, h in heads}
+    assert sum(ok for ok, _ in found.values()) >= 8
+    assert all(found[1000, j] == (False, -1) for j, _ in heads)  # a null text matches nothing
