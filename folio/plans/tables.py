@@ -365,3 +365,48 @@ def fuzzy_heading_match_documents(spark, sf_dir):
     heads = table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
     pairs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(heads))
     return pairs.select("doc_id", "item_id", fuzzy_match(F.col("head"), F.col("text")).alias("m")).select("doc_id", "item_id", "m.matched", "m.end")
+
+
+# Upserts whose store and batch together are all documents, and all benchmark headings against all documents.
+
+
+def _store_and_rest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    stored = F.coalesce(F.col("doc_id") % 5 < 3, F.lit(False))
+    return docs.where(stored), docs.where(~stored).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new"), F.col("source"))).otherwise(F.col("source")))
+
+
+_UPSERT_ALL = """store AS (SELECT source, doc_id, text FROM documents WHERE coalesce(doc_id % 5 < 3, false)),
+batch AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'new' || source ELSE source END AS source, doc_id, text FROM documents WHERE NOT coalesce(doc_id % 5 < 3, false))"""
+
+
+@query(f"WITH {_UPSERT_ALL} SELECT * FROM batch WHERE EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
+def upsert_existing_all(spark, sf_dir):
+    store, batch = _store_and_rest(spark, sf_dir)
+    return U.existing(batch, store)
+
+
+@query(f"WITH {_UPSERT_ALL} SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
+def upsert_new_all(spark, sf_dir):
+    store, batch = _store_and_rest(spark, sf_dir)
+    return U.new(batch, store)
+
+
+@query(f"WITH {_UPSERT_ALL} SELECT * FROM store WHERE NOT EXISTS (SELECT 1 FROM batch WHERE batch.source = store.source) UNION ALL SELECT * FROM batch")
+def upsert_replace_all(spark, sf_dir):
+    return U.upsert(*_store_and_rest(spark, sf_dir))
+
+
+@query(f"WITH {_UPSERT_ALL} SELECT * FROM store UNION ALL SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
+def upsert_append_all(spark, sf_dir):
+    return U.upsert(*_store_and_rest(spark, sf_dir), replace=False)
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM documents), b AS (SELECT item_id, split_part(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), chr(10), 1) AS h FROM benchmark)
+SELECT doc_id, item_id, round(1 - levenshtein(h, substr(t, 1, length(h))) / nullif(length(h), 0), 6) AS similarity FROM d, b""")
+def levenshtein_heads_all(spark, sf_dir):
+    """Every pair has a similarity, so none can be blocked away."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    heads = table(spark, sf_dir, "benchmark").select("item_id", F.split_part(plain, F.lit("\n"), F.lit(1)).alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", plain.alias("plain"))
+    return docs.crossJoin(F.broadcast(heads)).select("doc_id", "item_id", F.round(levenshtein_similarity(F.col("head"), F.col("plain")), 6).alias("similarity"))
