@@ -51,6 +51,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, row: str, text: str) -> DataFrame:
+    """df as a table in the shared folder with an identity of each row, told from all others even where rows are equal: column
+    `row` = struct<text: hash of the text, n: running number>. It is written, so it stays the same however often it is read."""
+    return materialize(df.withColumn(row, F.struct(F.xxhash64(text).alias("text"), F.monotonically_increasing_id().alias("n"))), "rows")
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import connected_components, materialize, ship, utf8
+from folio.llm._common import connected_components, materialize, numbered, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -216,6 +216,22 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, limit: int = LIMIT) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group. Rows with a null doc_id stay."""
-    gone = simhash_dedup(docs, key, text, size, limit).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
-    return docs.join(gone.distinct(), key, "left_anti").select(*docs.columns)
+    """One row of each component: of the smallest doc_id, where rows repeat it the first by hash of the text and running number.
+    Rows with a null doc_id stay."""
+    ship(docs.sparkSession)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    k, t = inner[docs.columns.index(key)], inner[docs.columns.index(text)]
+    rows = numbered(docs.toDF(*inner), "row", t)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), size) for x in utf8(b.column(2))), np.uint64, b.num_rows)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["row", "doc_id", "fp"])
+
+    known = rows.where(F.col(k).isNotNull()).select("row", F.col(k).cast("long").alias("doc_id"), F.col(t))
+    prints = materialize(known.mapInArrow(hashed, "row struct<text: long, n: long>, doc_id long, fp long"), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first")), "distinct")
+    roots = connected_components(links(distinct, limit), "a", "b").select(F.col("node").alias("fp"), "root")
+    stays = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    gone = prints.join(stays.select(F.col("first.row").alias("row")), "row", "left_anti").select("row")
+    return rows.join(gone, "row", "left_anti").select(*(F.col(c).alias(n) for c, n in zip(inner, docs.columns, strict=True)))

@@ -114,6 +114,26 @@ def test_line_dedup_links_edits_inside_short_and_medium_lines(spark):
     assert missed <= len(links) // 10, missed  # a few are lost by MinHash
 
 
+def test_rows_that_repeat_a_doc_id_are_judged_alone(spark):
+    from folio.llm import line_dedup as L
+    from folio.llm import simhash as S
+
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    schema = "doc_id long, text string"
+    # row (7, b) is a group of its own, though (7, a) is a copy; of the equal rows one stays
+    rows = [(1, a), (7, a), (7, b), (8, c), (8, c), (8, c), (None, d), (None, d)]
+    kept = [tuple(x) for x in S.keep_one(spark.createDataFrame(rows, schema).repartition(3)).collect()]
+    assert Counter(kept) == Counter([(1, a), (7, b), (8, c), (None, d), (None, d)])
+    # line 0 of (7, c) is unique, though that of (7, a) is a copy; of equal rows' lines one stays
+    rows = [(1, a), (7, a), (7, c), (8, d), (8, d)]
+    left = [tuple(x) for x in L.drop_lines(spark.createDataFrame(rows, schema).repartition(3)).collect()]
+    assert Counter(left) == Counter([(1, a), (7, ""), (7, c), (8, d), (8, "")])
+    kept = [x for x in L.line_dedup(spark.createDataFrame(rows, schema).repartition(3)).collect() if x.kept]
+    assert Counter(x.doc_id for x in kept) == Counter([1, 7, 8])
+
+
 def test_doc_fingerprint(docs, rows, odd):
     from folio.llm import doc_fingerprint as D
 
