@@ -114,6 +114,27 @@ def test_line_dedup_links_edits_inside_short_and_medium_lines(spark):
     assert missed <= len(links) // 10, missed  # a few are lost by MinHash
 
 
+def test_minima_find_pairs_at_the_threshold(spark):
+    """Pairs of lines at an index just above the threshold share a band, in each class of length."""
+    from folio.llm import line_dedup as L
+
+    r, rows, pairs = random.Random(6), [], defaultdict(list)
+    while min((len(pairs[size]) for size in (15, 24, 44)), default=0) < 300:
+        for size in (15, 24, 44):
+            line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size)).strip()
+            other = line + "".join(r.choice("0123456789") for _ in range(max(1, size // 6)))
+            x, y = line_shingles(line), line_shingles(other)
+            if 0.8 <= len(x & y) / len(x | y) < 0.87 and len(pairs[size]) < 300:
+                pairs[size].append((len(rows), len(rows) + 1))
+                rows += [(len(rows), line), (len(rows) + 1, other)]
+    found = L.lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {x.doc_id: x.id for x in found.collect()}
+    bands = {x.id: x.bands for x in L._signed(found, 4).collect()}
+    lost = {size: sum(not set(zip(range(99), bands[ids[a]])) & set(zip(range(99), bands[ids[b]])) for a, b in of) for size, of in pairs.items()}
+    print("lost of 300 by length", lost)
+    assert all(n <= 4 for n in lost.values()), lost
+
+
 def test_rows_that_repeat_a_doc_id_are_judged_alone(spark):
     from folio.llm import line_dedup as L
     from folio.llm import simhash as S
