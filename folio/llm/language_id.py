@@ -1,13 +1,14 @@
 """Language ID by cross-parsing entropy: suffix automata of labelled text, and the fewest phrases to write a text with.
 
-Fitting takes a bounded sample: of each language the SAMPLE_DOCS labelled documents that come first in a hashed order of
+Fitting takes a bounded sample: of each language the SAMPLE_DOCS labelled documents with a letter in their middle that come first in a hashed order of
 doc_id (ties by doc_id), SAMPLE_CHARS / SAMPLE_DOCS code points from the middle of each. Whatever the size of the corpus, no more is read
 to the driver, and the rank is limited in each task before rows are shuffled. From each language's sample a suffix
 automaton is built, which accepts every substring; its size is linear in the sample.
 
 Prediction parses the whole text, in segments of SEGMENT code points: a phrase goes on as long as the automaton has it, and the
-next starts where it fails. The normalised count is phrases * log2(sample size), the bits to write the phrases as
-pointers; the language with the fewest wins, ties go to the first by name. The score is second / (best + second) of these
+next starts where it fails. The cost is the bits to write the text: log2(size) for a phrase as a pointer, where the size is
+that of the largest sample for all languages, so that a small sample makes nothing cheaper, and LITERAL for a symbol that the
+language's sample does not have, which is a phrase of its own. The language with the fewest wins, ties go to the first by name. The score is second / (best + second) of these
 counts: 0.5 for a tie, near 1 for a clear case, 1 if only one language was learned. All languages and many segments are
 stepped together by table look-ups, so Python code runs per code point of a segment, not of a text.
 
@@ -34,6 +35,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT, SYMBOLS = 80, 24_000, 256, 95
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 _GROUP = 8192
+LITERAL = np.log2(0x110000)
 _built: dict[tuple, Model] = {}
 
 
@@ -80,14 +82,16 @@ class Model:
         self.symbol = np.fromiter((0 if chr(i).isalpha() else self.blank for i in range(0x110000)), np.uint8, 0x110000)
         for i, c in enumerate(self.known):
             self.symbol[ord(c)] = i + 1
-        self.cost = np.array([np.log2(len(t) + 2) for t in texts])
+        self.cost = np.log2(max(map(len, texts), default=0) + 2)
+        self.unseen = np.ones((self.width, len(texts)), np.int64)
         self.roots, tables, at = [], [], 0
-        for t in texts:
+        for i, t in enumerate(texts):
             moves = suffix_automaton(self._symbols(t).tolist())
             for m in moves:
                 m.pop(0, None)
             table = np.full((len(moves), self.width), 1, np.int32)  # unknown: a phrase of its own, then the root
             table[:] += 2 * at
+            self.unseen[list(moves[0]), i] = 0
             for c, to in moves[0].items():
                 table[:, c] = 2 * (at + to) + 1
             for s, m in enumerate(moves):
@@ -133,12 +137,18 @@ class Model:
             np.add.at(total, owner[own], count.T + 1)
         return total
 
+    def literals(self, texts: list[str]) -> np.ndarray:
+        """The number of symbols of each text that each language's sample does not have."""
+        counts = [np.bincount(self._symbols(t.lower()), minlength=self.width) for t in texts]
+        return np.array(counts, np.int64).reshape(-1, self.width) @ self.unseen
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and the score."""
         langs, score = ["und"] * len(texts), np.zeros(len(texts))
         at = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
         if at:
-            cost = self.phrases([texts[i] for i in at]) * self.cost
+            lettered = [texts[i] for i in at]
+            cost = self.phrases(lettered) * self.cost + self.literals(lettered) * (LITERAL - self.cost)
             best = cost.argmin(axis=1)
             ranked = np.sort(cost, axis=1)
             sure = ranked[:, 1] / (ranked[:, 0] + ranked[:, 1]) if len(self.langs) > 1 else np.ones(len(at))
@@ -154,15 +164,16 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
     """The samples, by language name, of the rows that are not held out and have a language and a text."""
-    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(lang).cast("string").alias("name"))
+    take = SAMPLE_CHARS // SAMPLE_DOCS
+    middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((F.length(text) - take) / 2).cast("int") + 1), F.lit(take))
+    lettered = docs.where(middle.rlike(r"\p{L}"))  # a null text has none
+    ids = lettered.select(F.col(key).cast("long").alias("id"), F.col(lang).cast("string").alias("name"))
     train = ids.where(F.col("name").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("id"), "id"))
     chosen = {r[0] for r in train.select("id", rank.alias("nth"), "name").where(F.col("nth") <= SAMPLE_DOCS).collect()}
     if not chosen:
         return ()
-    take = SAMPLE_CHARS // SAMPLE_DOCS
-    middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((F.length(text) - take) / 2).cast("int") + 1), F.lit(take))
-    rows = docs.where(F.col(key).isin(sorted(chosen)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = lettered.where(F.col(key).isin(sorted(chosen)) & F.col(lang).isNotNull())
     found = sorted((r[0], r[1], r[2]) for r in rows.select(F.col(lang).cast("string"), F.col(key).cast("long"), middle).distinct().collect())
     samples: dict[str, list[str]] = {}
     for name, _, part in found:

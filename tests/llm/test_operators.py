@@ -336,6 +336,21 @@ def test_language_id_accuracy_and_odd_rows(spark):
     assert [r.doc_id for r in keep_identified(few).collect()] == [4] and not identify(few.limit(0)).collect()
 
 
+def test_small_samples_and_nulls_do_not_win(spark):
+    from folio.llm.language_id import Model, fit
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    samples = fit(docs)
+    real = [(r.lang, r.text) for r in docs.where("text is not null").orderBy("doc_id").limit(80).collect()]
+    full = Model(samples).predict([t for _, t in real])[0]
+    for few in ("ok", "hello world", "a"):
+        assert Model(tuple(sorted([*samples, ("zz", few)]))).predict([t for _, t in real])[0] == full
+    assert Model((*samples, ("zz", "κόσμος και ουρανός"))).predict(["κόσμος"])[0] == ["zz"]  # a rare language stays
+    rows = [(i, None if i < 400 else "abc def", "xx") for i in range(500)] + [(i, "12 34", "yy") for i in range(900, 990)] + [(999, "quo", "yy")]
+    got = dict(fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got["xx"].count("abc def") > 60 and ("yy" not in got or "12" not in got["yy"])
+
+
 def test_sentencepiece_codec(docs):
     import public_tokenizers
 
