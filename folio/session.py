@@ -1,16 +1,18 @@
-"""What Spark functions in Python need on the executors."""
+"""What all of the library needs from a session: its package on the executors, and tables in the folder that they share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session."""
+    """Sends this package to the executors once a session, so that their Python workers can import it."""
     sc = spark.sparkContext
     if getattr(sc, "_folio_shipped", False):
         return
@@ -21,3 +23,34 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root))
     sc.addPyFile(str(target))
     sc._folio_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a fresh local folder serves a local
+    master; on a cluster that would lose rows, so it is an error there."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = getattr(sc, "_folio_shared", None)
+        if not found:
+            found = sc._folio_shared = tempfile.mkdtemp(prefix="folio-shared-")
+    return found.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        pass
