@@ -3,54 +3,37 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import gc
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.session import shared_dir, ship
+
+__all__ = ["clean_shuffles", "connected_components", "materialize", "numbered", "parallelism", "range_bounds", "range_group", "raw", "shared_dir", "ship", "utf8"]
+
 #: Parquet bytes of input that one group or bucket should hold at most.
 GROUP_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_folio_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp(prefix="folio-")) / "folio_package.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted((root / "folio").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._folio_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = getattr(sc, "_folio_shared", None)
-        if not found:
-            found = sc._folio_shared = tempfile.mkdtemp(prefix="folio-shared-")
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, row: str, text: str) -> DataFrame:
     """df as a table in the shared folder with an identity of each row, told from all others even where rows are equal: column
     `row` = struct<text: hash of the text, n: running number>. It is written, so it stays the same however often it is read."""
