@@ -132,8 +132,6 @@ def test_signatures_find_pairs_at_the_threshold():
     lost = {size: sum(not (keys[a] == keys[b]).any() for a, b in of) for size, of in pairs.items()}
     print("lost of 300 by length", lost)
     assert all(n <= 12 for n in lost.values()), lost
-    size = [len(line_shingles(x)) for x in rows]
-    assert L.sets(rows)[2].tolist() == size
     for a, b in [x for of in pairs.values() for x in of[:20]] + [(0, 9), (4, 800)]:
         x, y = line_shingles(rows[a]), line_shingles(rows[b])
         for threshold in (0.1, 0.8, 0.83):
