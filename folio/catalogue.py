@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import fixtures, tables
+from folio.plans import fixtures, knowledge, structure, tables
 
-QUERIES = tables.QUERIES | fixtures.QUERIES
-ORACLES = tables.ORACLES | fixtures.ORACLES
+QUERIES = tables.QUERIES | fixtures.QUERIES | structure.QUERIES | knowledge.QUERIES
+ORACLES = tables.ORACLES | fixtures.ORACLES | structure.ORACLES | knowledge.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ MARKS = "[,!?;。，！？；:：]"
 FIELDS = "type string, prefix string, inside string, dot_count int, head string, content string"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first_group(c: Column, pattern: str) -> Column:
     return F.regexp_extract(c, "(?U)" + pattern, 1)
 
@@ -78,9 +85,7 @@ def features(line: Column, outline: bool = False, strict: bool = True) -> Column
     inside: what parentheses hold; head: the line up to its first white space; content: the heading, which ends at a mark in dotted numberings.
     outline: lines are known headings, so the whole line is content and a line without a style is `plain`, not `content`.
     strict: Roman numerals must be tokens of their own; else a word that begins with i, v or x counts as one."""
-    both = _first_group(line, r"^([（(][^）)]+[）)])(?:.*?)\s+")
-    right = _first_group(line, r"^(.{1,3}[）)])(?:.*?)\s+")
-    in_both, in_right = strip(F.substring(both, F.lit(2), F.length(both) - 2)), strip(F.substring(right, F.lit(1), F.length(right) - 1))
+    no = F.lit(None).cast("string")
 
     def kind(inner: Column, ending: str) -> Column:
         out = F.lit("other")
@@ -88,23 +93,31 @@ def features(line: Column, outline: bool = False, strict: bool = True) -> Column
             out = F.when(inner.rlike("(?U)" + pattern), name).otherwise(out)
         return F.concat(out, F.lit(ending))
 
-    no = F.lit(None).cast("string")
-    found = F.struct(F.lit("plain" if outline else "content").alias("type"), F.lit("").alias("prefix"), no.alias("inside"))
-    for name, pattern in reversed(STYLES):
-        prefix = _first_group(line, STRICT.get(name, pattern) if strict else pattern)
-        found = F.when(prefix != "", F.struct(F.lit(name).alias("type"), prefix.alias("prefix"), no.alias("inside"))).otherwise(found)
-    found = F.when(right != "", F.struct(kind(in_right, "_right_parentthese").alias("type"), right.alias("prefix"), in_right.alias("inside"))).otherwise(found)
-    found = F.when((both != "") & (F.length(in_both) <= 3), F.struct(kind(in_both, "_parentthese").alias("type"), both.alias("prefix"), in_both.alias("inside"))).otherwise(found)
-    styled = found["prefix"] != ""
-    tail = F.regexp_extract(F.substring(line, F.length(found["prefix"]) + 1, F.length(line)), r"(?U)^\S*\s+", 0)
-    head = F.when(styled, F.when(tail != "", F.concat(found["prefix"], tail)).otherwise(line)).otherwise("")
-    rest = F.regexp_extract(F.substring(line, F.length(head) + 1, F.length(line)), r"^[^\n]*", 0)
-    dots = F.when(styled, dot_count(found["prefix"])).otherwise(0)
-    if outline:
-        content = line
-    else:
-        content = F.when(styled, F.when((dots > 0) & rest.rlike(MARKS), strip(head)).otherwise(strip(F.concat(head, rest)))).otherwise(line)
-    return F.struct(found["type"].alias("type"), found["prefix"].alias("prefix"), found["inside"].alias("inside"), dots.cast("int").alias("dot_count"), strip(head).alias("head"), content.alias("content"))
+    def enclosed(pattern: str, ending: str, left: int, most: int) -> Column:
+        """The style of a prefix that holds its number in parentheses."""
+        inner = lambda p: strip(F.substring(p, F.lit(left + 1), F.length(p) - left - 1))
+        return let(_first_group(line, pattern), lambda p: let(inner(p), lambda x: F.struct(kind(x, ending).alias("type"), F.when(F.length(x) <= most, p).otherwise("").alias("prefix"), x.alias("inside"))))
+
+    found = [enclosed(r"^([（(][^）)]+[）)])(?:.*?)\s+", "_parentthese", 1, 3), enclosed(r"^(.{1,3}[）)])(?:.*?)\s+", "_right_parentthese", 0, 9)]
+    for name, pattern in STYLES:
+        found.append(F.struct(F.lit(name).alias("type"), _first_group(line, STRICT.get(name, pattern) if strict else pattern).alias("prefix"), no.alias("inside")))
+    nothing = F.struct(F.lit("plain" if outline else "content").alias("type"), F.lit("").alias("prefix"), no.alias("inside"))
+    first = F.coalesce(F.get(F.filter(F.array(*found), lambda x: x["prefix"] != ""), F.lit(0)), nothing)
+
+    def described(f: Column) -> Column:
+        styled = f["prefix"] != ""
+        tail = F.regexp_extract(F.substring(line, F.length(f["prefix"]) + 1, F.length(line)), r"(?U)^\S*\s+", 0)
+        head = let(tail, lambda t: F.when(~styled, "").when(t != "", F.concat(f["prefix"], t)).otherwise(line))
+        dots = F.when(styled, dot_count(f["prefix"])).otherwise(0)
+
+        def whole(h: Column) -> Column:
+            rest = F.regexp_extract(F.substring(line, F.length(h) + 1, F.length(line)), r"^[^\n]*", 0)
+            content = line if outline else let(rest, lambda r: F.when(~styled, line).when((dots > 0) & r.rlike(MARKS), strip(h)).otherwise(strip(F.concat(h, r))))
+            return F.struct(f["type"].alias("type"), f["prefix"].alias("prefix"), f["inside"].alias("inside"), dots.cast("int").alias("dot_count"), strip(h).alias("head"), content.alias("content"))
+
+        return let(head, whole)
+
+    return let(first, described)
 
 
 def starts_level(feature: Column) -> Column:

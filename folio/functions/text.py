@@ -51,6 +51,11 @@ def fold_spelling(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("付录"), F.lit("附录")), F.lit("符录"), F.lit("附录"))
 
 
+def without_contained(text: Column, note: Column, later: Column) -> Column:
+    """A text without a note of its own that, white space at its ends aside, a later text has as well."""
+    return F.when(F.contains(later, strip(note)), F.replace(text, note, F.lit(""))).otherwise(text)
+
+
 def outline_entry(c: Column) -> Column:
     """A line of a table of contents without its leader and page number: cut at an ellipsis, else before a page number at
     the end, else at a run of two dots or more; then without number signs. Entries of one character are null."""

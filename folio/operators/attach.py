@@ -81,7 +81,9 @@ def _fold(heads: DataFrame, base: DataFrame, find: Callable) -> DataFrame:
         found = list(find(list(zip(left["pos"], left["text"], strict=True)), titles))
         return pd.DataFrame({"doc_id": [left["doc_id"].iloc[0]] * len(found), "pos": [a for a, _ in found], "target": [b for _, b in found]})
 
-    return heads.select("doc_id", "pos", "text").groupBy("doc_id").cogroup(base.groupBy("doc_id")).applyInPandas(fold, TARGETS)
+    # both may come from one table: new names tell their columns apart
+    heads, base = heads.select("doc_id", "pos", "text").toDF("doc_id", "pos", "text"), base.toDF(*base.columns)
+    return heads.groupBy("doc_id").cogroup(base.groupBy("doc_id")).applyInPandas(fold, TARGETS)
 
 
 def attach(explanations: DataFrame, base: DataFrame) -> DataFrame:

@@ -61,10 +61,13 @@ def bind_equations(lines: DataFrame, mark: str = "$$") -> DataFrame:
     first = F.min(F.when(F.col("part") == "core", F.col("breaks"))).over(Window.partitionBy("doc_id", "run"))
     rows = rows.withColumn("member", F.col("part").isNotNull() & (F.col("run") > 0) & (F.col("breaks") == first))
     block = F.when(F.col("member"), F.concat(F.lit("e"), F.col("run"))).otherwise(F.concat(F.lit("p"), F.col("pos")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "names", "part", "text"))), lambda x: F.concat(x["text"], F.when(x["names"], "\n\n").when((x["part"] == "core") & (x["text"] == mark), "\n").when(x["part"].isNotNull(), "\n").otherwise("")))
-    out = rows.withColumn("block", block).groupBy("doc_id", "block").agg(F.min("pos").alias("pos"), parts.alias("parts"), F.max("member").alias("member"), F.max("type").alias("type"), F.max("link").alias("link"), F.max("name").alias("other"), F.max(F.when(F.col("names"), F.col("text"))).alias("named"))
-    text = F.regexp_replace(F.array_join("parts", ""), r"\n+$", "")
-    return out.select("doc_id", "pos", F.when(F.col("member"), text).otherwise(F.array_join("parts", "")).alias("text"), F.when(F.col("member"), "equation").otherwise(F.col("type")).alias("type"), F.when(F.col("member"), F.col("named")).otherwise(F.col("other")).alias("name"), "link")
+    ends = F.col("names") | (is_mark & (seen % 2 == 0))
+    rows = rows.withColumn("gap", F.when(~F.col("member"), "").when(ends, "\n\n").otherwise("\n")).withColumn("block", block)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "gap"))), lambda x: F.concat(x["text"], x["gap"]))
+    one = lambda c: F.min_by(c, "pos").alias(c)
+    out = rows.groupBy("doc_id", "block").agg(F.min("pos").alias("pos"), F.regexp_replace(F.array_join(parts, ""), r"\n+$", "").alias("text"), one("member"), one("type"), one("name"), one("link"), F.max(F.when(F.col("names"), F.col("text"))).alias("named"))
+    of = lambda mine, other: F.when(F.col("member"), mine).otherwise(F.col(other)).alias(other)
+    return out.select("doc_id", "pos", "text", of(F.lit("equation"), "type"), of(F.col("named"), "name"), "link")
 
 
 def bind_tables(lines: DataFrame, lookback: int = 4) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.headings import features, starts_level
+from folio.functions.headings import features, let, starts_level
 from folio.functions.text import outline_entry, strip
 from folio.session import ship
 
@@ -25,33 +25,29 @@ TOP = ("plain", "appendix", "annex")
 PARENT = "array<struct<title: string, en: string>>"
 
 
-def _cut(c: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """Text before the first match, the match, text after it; all null where there is none."""
-    hit, at = F.regexp_substr(c, F.lit(pattern)), F.regexp_instr(c, F.lit(pattern))
-    return F.substring(c, F.lit(1), at - 1), hit, F.substring(c, at + F.length(hit), F.length(c))
+def _cut(c: Column, pattern: str) -> Column:
+    """struct<before, hit, after> of the first match; all null where there is none."""
+    found = F.struct(F.regexp_instr(c, F.lit(pattern)).alias("at"), F.regexp_substr(c, F.lit(pattern)).alias("hit"))
+    return let(found, lambda x: F.struct(F.when(x["at"] > 0, F.substring(c, F.lit(1), x["at"] - 1)).alias("before"), x["hit"].alias("hit"), F.when(x["at"] > 0, F.substring(c, x["at"] + F.length(x["hit"]), F.length(c))).alias("after")))
 
 
 def partition(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with front, toc, toc_en and body. A part that is missing lends its place to the next one that is there; without
     any table of contents all text is body, but for what comes before its first heading."""
+    kept = list(docs.columns)
     c = F.col(text)
-    front, _, after = _cut(c, FRONT_END)
-    out = docs.withColumn("_front", front).withColumn("_rest", F.coalesce(after, c))
-    toc, _, after = _cut(F.col("_rest"), TOC_END)
-    out = out.withColumn("_toc", toc).withColumn("_rest", F.coalesce(after, F.col("_rest")))
-    en, start, after = _cut(F.col("_rest"), BODY_START)
-    out = out.withColumn("_en", en).withColumn("_body", F.when(en.isNotNull(), F.concat(start, after)).otherwise(F.col("_rest")))
-    has_front, has_toc, has_en = (F.coalesce(F.col(x), F.lit("")) != "" for x in ("_front", "_toc", "_en"))
+    rows = docs.withColumn("_front", _cut(c, FRONT_END))
+    rows = rows.withColumn("_toc", _cut(F.coalesce("_front.after", c), TOC_END))
+    rows = rows.withColumn("_rest", F.coalesce("_toc.after", "_front.after", c))
+    rows = rows.withColumn("_en", _cut(F.col("_rest"), BODY_START)).withColumn("_head", _cut(c, r"(?m)^#+ +.*$"))
+    has = lambda name: F.coalesce(F.col(f"{name}.before"), F.lit("")) != ""
     # only one table of contents: it is the first one, whatever its heading was
-    first = F.when(has_toc, F.col("_toc")).when(has_front & has_en, F.col("_en"))
-    second = F.when(has_toc & has_en, F.col("_en"))
-    known = first.isNotNull()
-    heading = F.regexp_substr(c, F.lit(r"(?m)^#+ +.*$"))
-    at = F.instr(c, heading)
-    lead = F.when(heading.isNotNull(), F.substring(c, F.lit(1), at - 1)).otherwise(F.lit(""))
-    body = F.when(known, F.col("_body")).when(heading.isNotNull(), F.substring(c, at, F.length(c))).otherwise(c)
-    kept = [F.col(x) for x in docs.columns]
-    return out.select(*kept, F.when(known, F.coalesce("_front", F.lit(""))).otherwise(lead).alias("front"), F.coalesce(first, F.lit("")).alias("toc"), F.coalesce(second, F.lit("")).alias("toc_en"), body.alias("body"))
+    first = F.when(has("_toc"), F.col("_toc.before")).when(has("_front") & has("_en"), F.col("_en.before"))
+    rows = rows.withColumn("_first", first).withColumn("_second", F.when(has("_toc") & has("_en"), F.col("_en.before")))
+    known = F.col("_first").isNotNull()
+    body = F.when(known, F.coalesce(F.concat("_en.hit", "_en.after"), "_rest")).otherwise(F.coalesce(F.concat("_head.hit", "_head.after"), c))
+    front = F.coalesce(F.when(known, F.col("_front.before")).otherwise(F.col("_head.before")), F.lit(""))
+    return rows.select(*kept, front.alias("front"), F.coalesce("_first", F.lit("")).alias("toc"), F.coalesce("_second", F.lit("")).alias("toc_en"), body.alias("body"))
 
 
 def _entries(part: Column) -> Column:

@@ -9,18 +9,18 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.headings import features, last_number, ordinal, starts_level
 from folio.functions.matching import match
-from folio.functions.text import breadcrumb, fold_spelling
+from folio.functions.text import breadcrumb, fold_spelling, fuzzy_match
 from folio.operators import attach as A
 from folio.operators.chunking import pack_lines
 from folio.operators.lines import clean_lines, number
 from folio.operators.objects import FLAGS, NAMES, bind_objects, flags
 from folio.operators.outline import PARENT, TOP, Heading, featured, headings_of, infer, learn, level_of, partition, split_annexes, titles
-from folio.session import ship
+from folio.session import materialize, ship
 
 MATCH, DEEPER = 0.6, 2
 PLACE = "doc_id long, part int, pos int, section int, opens boolean, named boolean, title string, en string, cut int, depth int, parents " + PARENT
@@ -147,7 +147,9 @@ def locate(rows: DataFrame, outline: DataFrame, strict: bool = True) -> DataFram
             out.append((left["doc_id"].iloc[0], left["part"].iloc[0], line.pos, nth, opens, section.named, section.title, section.en, min(section.cut, len(line.text)) if opens else 0, section.depth, parents))
         return pd.DataFrame(out, columns=["doc_id", "part", "pos", "section", "opens", "named", "title", "en", "cut", "depth", "parents"])
 
-    return lines.groupBy("doc_id", "part").cogroup(featured(outline, strict).groupBy("doc_id", "part")).applyInPandas(fold, PLACE)
+    entries = featured(outline, strict)
+    lines, entries = lines.toDF(*lines.columns), entries.toDF(*entries.columns)  # both come from one table: new names tell their columns apart
+    return lines.groupBy("doc_id", "part").cogroup(entries.groupBy("doc_id", "part")).applyInPandas(fold, PLACE)
 
 
 def sections(rows: DataFrame, located: DataFrame) -> DataFrame:
@@ -159,18 +161,14 @@ def sections(rows: DataFrame, located: DataFrame) -> DataFrame:
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("text")))), lambda x: x["text"])
     one = lambda c: F.min_by(c, "pos").alias(c)
     grouped = both.groupBy("doc_id", "part", "section").agg(F.min("pos").alias("pos"), one("named"), one("title"), one("en"), one("depth"), one("parents"), F.array_join(texts, "\n").alias("text"), *flags())
-    from pyspark.sql import Window
-
     after = Window.partitionBy("doc_id", "part").orderBy("section")
     title = F.struct("title", "en")
     handed = F.coalesce(F.exists(F.filter(F.lead("parents").over(after), lambda x: x.isNotNull()), lambda x: x == title), F.lit(False))
     return grouped.withColumn("handed", handed).where("not (handed and trim(text) = '')").drop("handed").withColumn("lead", breadcrumb(F.when(F.col("named"), F.concat("parents", F.array(title))).otherwise(F.col("parents"))))
 
 
-def is_explanation(header) -> F.col:
+def is_explanation(header: Column) -> Column:
     """Is an annex the explanation of the body's provisions?"""
-    from folio.functions.text import fuzzy_match
-
     return fuzzy_match(F.lit("附：条文说明"), header, 0.8)["matched"]
 
 
@@ -277,18 +275,20 @@ def structural(docs: DataFrame, size: int = 500, lookback: int = 4, strict: bool
     Chunks of the front matter come first, then those of the body, then figures, equations and tables once more on their own. A document without
     headings is packed by size. A size of -1 packs nothing."""
     parts = partition(docs.select("doc_id", F.col(text).alias("text")))
-    outline = titles(parts)
-    annexes = split_annexes(parts, outline)
+    # tables that several branches read are written once
+    outline = materialize(titles(parts), "titles")
+    annexes = materialize(split_annexes(parts, outline), "annexes")
     rows = annexes.select("doc_id", "part", F.posexplode(F.split("body", r"\R")).alias("pos", "text")).where("text <> ''")
     rows = clean_lines(rows)
     # windows of the object operators run within a document's part
     keyed = rows.select(F.struct("doc_id", "part").alias("doc_id"), "pos", "text")
-    bound = bind_objects(keyed).select("doc_id.doc_id", F.col("doc_id.part").alias("part"), "pos", "text", "type", "name", "link")
+    bound = materialize(bind_objects(keyed).select("doc_id.doc_id", F.col("doc_id.part").alias("part"), "pos", "text", "type", "name", "link"), "objects")
     own = outline.join(annexes.where("part > 0").select("doc_id", F.col("header").alias("title")), ["doc_id", "title"], "left_anti").withColumn("part", F.lit(0))
     inner = body_outline(annexes)
-    located = locate(bound, own.select("doc_id", "part", "pos", "title", "en").unionByName(inner), strict)
+    headed = bound.join(outline.select("doc_id").distinct(), "doc_id", "left_semi")
+    located = locate(headed, own.select("doc_id", "part", "pos", "title", "en").unionByName(inner), strict)
     found = sections(bound, located).join(annexes.select("doc_id", "part", "header"), ["doc_id", "part"])
-    known = found.join(outline.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = materialize(found, "sections")
     explains = (F.col("part") > 0) & is_explanation(F.col("header"))
     base = attach_explanations(known.where("part = 0"), known.where(explains))
     rest = known.where((F.col("part") > 0) & ~explains)

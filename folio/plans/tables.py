@@ -12,6 +12,7 @@ from folio.functions.vectors import cosine
 from folio.operators import lines as L
 from folio.operators import retrieval as R
 from folio.operators import upsert as U
+from folio.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,7 +109,7 @@ best AS (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_
 
 @query(f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, sf_dir):
-    stats, _ = R.term_stats(R.postings(table(spark, sf_dir, "documents")))
+    stats, _ = R.term_stats(materialize(R.postings(table(spark, sf_dir, "documents")), "postings"))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -163,8 +164,7 @@ both_arms AS (SELECT *, 'bm25' AS origin FROM best UNION ALL SELECT *, 'overlap'
 
 def _arms(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    overlap = docs.crossJoin(F.broadcast(q)).select("query_id", "doc_id", F.round(R.jaccard(F.col("query"), F.col("text")), 6).alias("score"))
-    return R.hybrid({"bm25": R.bm25_top(docs, q), "overlap": R.top(overlap, 10, F.desc("score"), F.asc("doc_id"))})
+    return R.hybrid({"bm25": R.bm25_top(docs, q), "overlap": R.overlap_top(docs, q)})
 
 
 @query(f"WITH {_bm25()}, {_JACCARD} SELECT doc_id, score, rank, origin FROM both_arms")
