@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folio.session import shared_dir, ship
 
-__all__ = ["clean_shuffles", "connected_components", "materialize", "numbered", "parallelism", "range_bounds", "range_group", "raw", "shared_dir", "ship", "utf8"]
+__all__ = ["begin", "caches", "clean_shuffles", "connected_components", "materialize", "numbered", "parallelism", "range_bounds", "range_group", "range_start", "raw", "shared_dir", "ship", "slices", "utf8"]
 
 #: Parquet bytes of input that one group or bucket should hold at most.
 GROUP_BYTES = 8 << 20
@@ -34,6 +36,39 @@ def clean_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_busy = [""]
+
+
+def caches(operator: str, clear: Callable[[], None]) -> None:
+    """Names what an operator keeps in a Python worker from batch to batch, and how to let it go."""
+    _caches[operator] = clear
+
+
+def begin(operator: str) -> None:
+    """An operator's work begins in a Python worker: what others keep there goes, so a worker that Spark uses again never holds more than
+    one operator's tables."""
+    if _busy[0] == operator:
+        return
+    _busy[0] = operator
+    for name, clear in _caches.items():
+        if name != operator:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker holds the texts of few at a time."""
+    for b in batches:
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
+
+
 def numbered(df: DataFrame, row: str, text: str) -> DataFrame:
     """df as a table in the shared folder with an identity of each row, told from all others even where rows are equal: column
     `row` = struct<text: hash of the text, n: running number>. It is written, so it stays the same however often it is read."""
@@ -91,6 +126,19 @@ def range_group(bounds: list[int], key: Column) -> Column:
     return group(key.cast("long"))
 
 
+def range_start(bounds: list[int], key: Column) -> Column:
+    """Is key the first of a range?"""
+    firsts = np.array(bounds, dtype=np.int64)
+
+    @F.arrow_udf("boolean")
+    def start(keys: pa.Array) -> pa.Array:
+        k = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(firsts, k), len(firsts) - 1)
+        return pa.array((firsts[at] == k) & keys.is_valid().to_numpy(zero_copy_only=False))
+
+    return start(key.cast("long"))
+
+
 def _priority(c: Column) -> Column:
     return F.struct(F.xxhash64(c).alias("h"), c.alias("v"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import ship, utf8
+from folio.llm._common import begin, caches, ship, utf8
 
 BLANK = "▁"
 #: Stands for a U+2581 of the text; a private character that no piece has.
@@ -141,11 +141,15 @@ def load(model: str) -> Codec:
     return Codec([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
 
 
+caches("sentencepiece", load.cache_clear)
+
+
 def code(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids_crc32, score, decoded_sha256, round_trip) of each row."""
     ship(docs.sparkSession)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("sentencepiece")
         codec = load(model)
         for b in batches:
             rows = []

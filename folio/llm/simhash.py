@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import connected_components, materialize, numbered, ship, utf8
+from folio.llm._common import begin, caches, connected_components, materialize, numbered, ship, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -34,6 +34,7 @@ LIMIT = 3
 #: Comparisons that one numpy call makes.
 _BLOCK = 1 << 21
 _decoder: list[np.ndarray] = []
+caches("simhash", _decoder.clear)
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -157,6 +158,7 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
         raise ValueError("the segments find at most 3 differing bits")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for b in batches:
             all_of = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(all_of), 2000):
@@ -194,6 +196,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFra
     """(doc_id, fp) of each row; fp has the fingerprint's bits as a signed long."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), size) for t in utf8(b.column(1))), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
@@ -224,6 +227,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     rows = numbered(docs.toDF(*inner), "row", t)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), size) for x in utf8(b.column(2))), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["row", "doc_id", "fp"])

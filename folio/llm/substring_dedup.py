@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm._common import parallelism, range_bounds, range_group, raw, ship, utf8
+from folio.llm._common import begin, caches, parallelism, range_bounds, range_group, raw, ship, utf8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -39,6 +39,7 @@ _BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64
 _BASE, _ROLL, _ROLL2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SLICE = 2 << 20
 _powers: dict[int, np.ndarray] = {}
+caches("substring dedup", _powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -191,6 +192,7 @@ def mark(docs: DataFrame, key: str, text: str, window: int = 20, per_group=None,
     dealt = docs.toDF(*inner).withColumn("grp", range_group(bounds, F.col(k)))
 
     def group(table: pa.Table) -> tuple[int, _Group]:
+        begin("substring dedup")
         return table["grp"][0].as_py(), _Group(table.drop_columns(["grp"]), k, t, window, bits)
 
     def probe(table: pa.Table) -> pa.Table:
