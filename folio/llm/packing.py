@@ -1,12 +1,16 @@
 """Best-fit packing (pattern packing by non-negative least squares): documents into sequences of `capacity` tokens.
 
 Documents longer than the capacity are cut into full pieces and a rest; nothing else is cut. The plan needs only the
-histogram of piece lengths, `capacity` numbers whatever the size of the corpus. Patterns are the multisets of at most DEPTH
-length classes (of capacity / CLASSES tokens, rounded up) that fill a sequence. Repeat counts of the patterns are fitted to
-the histogram of classes by non-negative least squares, rounded down and held to the supply. Of each pattern all places but the shortest are
-filled, with the largest lengths of a class first; the shortest is left open, so that the residual closes what rounding to
-classes leaves. The residual (all pieces without a place) goes longest first into the fullest sequence that has room, or
-a new one: best fit decreasing, on counts of equal sequences at once.
+histogram of piece lengths, `capacity` numbers whatever the size of the corpus.
+
+1. Patterns are multisets of at most DEPTH length classes (of capacity / CLASSES tokens, each counted by its middle) that fill a sequence.
+   Those of one and two documents are listed; of all deeper ones the one that would lower what is unfitted most is found by dynamic programming and
+   joins, until none would.
+2. Repeat counts of the patterns are fitted to the histogram of classes by non-negative least squares, rounded down and held to the supply;
+   then those with a large rest are rounded up while classes last. What is left is fitted again, until little more can be placed so.
+3. Places of a pattern take the longest and the shortest lengths of their class by turns, so that lengths even out, and the last place takes the
+   longest piece that fits: it closes what classes leave.
+4. The residual (all pieces without a place) goes longest first into the fullest sequence that has room, or a new one.
 
 The plan is runs of equal placements, (length, how many, first sequence, offset), and their number depends on the lengths,
 not on the documents. Pieces are numbered within (length, salt) and moved by the counts before, so a length that a third of
@@ -21,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm._common import materialize, raw, ship, utf8
+from folio.llm._common import begin, caches, materialize, raw, ship, slices, utf8
 
-CAPACITY, CLASSES, DEPTH = 4096, 128, 3
+CAPACITY, CLASSES, DEPTH = 4096, 128, 24
 #: Parts of words whose ids a Python worker keeps: two generations of so many each, the older of which goes when the
-#: younger is full (at most about 150 MB in all).
-CACHE_PARTS = 400_000
+#: younger is full (at most about 75 MB in all).
+CACHE_PARTS = 200_000
 #: Bytes of text whose words are told apart at a time.
 SLICE_BYTES = 8 << 20
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -136,6 +140,9 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+caches("packing", _word_ids.cache_clear)
+
+
 def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
     """Of each text (large_string) the ids as native unsigned 32-bit numbers, by slices of about SLICE_BYTES."""
     ids = _word_ids(path)
@@ -152,7 +159,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: str,
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        begin("packing")
+        for b in slices(batches, 2000):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), word_ids(utf8(b.column(1)), tokenizer), strict=True):
                 ids += last
@@ -163,24 +171,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text: str,
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(classes: int, depth: int) -> list[tuple[int, ...]]:
-    """All descending tuples of at most `depth` classes (1 up) that sum to `classes`."""
-
-    def rest(total: int, most: int, slots: int) -> Iterator[tuple[int, ...]]:
-        if not total:
-            yield ()
-        elif slots:
-            for c in range(min(total, most), -(-total // slots) - 1, -1):
-                for tail in rest(total - c, c, slots - 1):
-                    yield (c, *tail)
-
-    return list(rest(classes, classes, depth))
-
-
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by the active set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|, by the active set method of Lawson and Hanson, from x on (0 where it has no entry)."""
     n = a.shape[1]
-    x, active = np.zeros(n), np.zeros(n, bool)
+    x = np.zeros(n) if x is None else np.append(x, np.zeros(n - len(x)))
+    active = x > 0
     limit = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(3 * n):
         gain = a.T @ (b - a @ x)
@@ -206,9 +201,52 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> tuple[np.ndarray, int]:
+def best_pattern(worth: np.ndarray, depth: int) -> np.ndarray | None:
+    """Of all patterns of at most `depth` documents that fill a sequence, how many of each class the one with the largest sum of worths has;
+    None where none has a sum above 0. A class k (from 1) counts with its middle, 2 k - 1 half widths."""
+    classes = len(worth)
+    full, size = 2 * classes, 2 * np.arange(1, classes + 1) - 1
+    best = np.full((full + 1, depth + 1), -np.inf)  # by what is filled and by documents at most
+    best[0] = 0
+    came = np.zeros((full + 1, depth + 1), np.int32)
+    for u in range(1, full + 1):
+        fits = size[size <= u]
+        sums = best[u - fits, :-1] + worth[: len(fits), None]
+        at = sums.argmax(axis=0)
+        came[u, 1:] = at
+        best[u, 1:] = sums[at, np.arange(depth)]
+    if not best[full, depth] > 0:
+        return None
+    out, u, d = np.zeros(classes), full, depth
+    while u:
+        k = came[u, d]
+        out[k] += 1
+        u, d = u - int(size[k]), d - 1
+    return out
+
+
+def fitted(have: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (a column each) and how often each is wanted, fitted to the histogram of classes by non-negative least squares.
+
+    All patterns of one or two documents are enumerated; deeper ones join in the order in which they would lower the rest most, until none would."""
+    classes = len(have)
+    columns = [np.bincount([k, classes - 1 - k], minlength=classes).astype(float) for k in range((classes + 1) // 2)]  # middles of k and its mirror fill a sequence
+    x = np.zeros(0)
+    scale = max(1.0, float(have.max(initial=0)))
+    for _ in range(3 * classes):
+        a = np.array(columns).T
+        x = nnls(a, have, x)
+        new = best_pattern(have - a @ x, depth)
+        if new is None or (new @ (have - a @ x)) <= 1e-6 * scale or any((new == c).all() for c in columns):
+            break
+        used = np.flatnonzero(x > 0)
+        columns, x = [*(columns[i] for i in used), new], x[used]
+    return np.array(columns).T, np.append(x, np.zeros(len(columns) - len(x)))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> tuple[np.ndarray, int, int]:
     """Runs (length, place of the first among its length, how many, first sequence, offset) sorted by length and place,
-    and the number of sequences."""
+    the number of sequences, and how many pieces patterns have placed."""
     left = {n: c for n, c in histogram.items() if c}
     if any(not 0 < n <= capacity for n in left):
         raise ValueError("lengths must be from 1 to the capacity")
@@ -226,17 +264,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
             place(capacity, full, 0, 0)
             bins = full
     width = capacity / classes
-    by_class: dict[int, list[int]] = {}
-    for n in sorted(left):
-        if left[n]:
-            by_class.setdefault(int(-(-n // width)), []).append(n)
-    shapes = patterns(classes, depth)
-    a = np.zeros((classes, len(shapes)))
-    for k, shape in enumerate(shapes):
-        for c in shape:
-            a[c - 1, k] += 1
-    have = np.array([sum(left[n] for n in by_class.get(c, ())) for c in range(1, classes + 1)], float)
-    repeats = np.floor(nnls(a, have) + 1e-9).astype(np.int64) if have.any() else np.zeros(len(shapes), np.int64)
+    of = lambda n: int(-(-n // width)) - 1
+    stock = sorted(n for n in left if left[n])
+    by_class: list[list[int]] = [[] for _ in range(classes)]
+    for n in stock:
+        by_class[of(n)].append(n)
+    have = np.array([sum(left[n] for n in ns) for ns in by_class], float)
     spare: dict[int, list[tuple[int, int]]] = {}  # room -> groups (first sequence, count)
     rooms: list[int] = []
 
@@ -248,31 +281,63 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
             spare[room] = []
         spare[room].append((first, count))
 
-    supply = have.astype(np.int64)  # of each class, less what patterns have taken or keep for their open places
-    for k in np.argsort(-repeats, kind="stable").tolist():
-        shape = shapes[k]
-        times = min(int(repeats[k]), *(int(supply[c - 1]) // shape.count(c) for c in shape))
-        if not times:
-            continue
-        for c in shape:
-            supply[c - 1] -= times
+    supply = have.astype(np.int64)  # of each class, less what patterns have taken
+
+    def fill(shape: list[int], times: int) -> None:
+        """Opens `times` sequences of a pattern's classes, the largest first. Places take the longest and the shortest of their class by turns,
+        so that lengths even out; the last one takes the longest piece that fits."""
+        nonlocal bins
         groups = [(bins, times, 0)]
-        for c in shape[:-1]:
+        bins += times
+        for nth, c in enumerate(shape[:-1]):
             after = []
             for first, count, used in groups:
                 while count:
-                    n = by_class[c][-1]
-                    take = min(count, left[n])
-                    if take:
-                        place(n, take, first, used)
-                        after.append((first, take, used + n))
-                        first, count = first + take, count - take
+                    end = -1 if nth % 2 == 0 else 0
+                    n = by_class[c][end]
+                    take = min(count, left[n]) if used + n <= capacity else 0
+                    if not take:
+                        after.append((first, count, used))
+                        break
+                    place(n, take, first, used)
+                    supply[c] -= take
+                    after.append((first, take, used + n))
+                    first, count = first + take, count - take
                     if not left[n]:
-                        by_class[c].pop()
+                        by_class[c].pop(end)
+                        stock.pop(bisect_left(stock, n))
             groups = after
-        bins += times
         for first, count, used in groups:
+            while count and used < capacity:
+                at = bisect_right(stock, capacity - used) - 1
+                while at >= 0 and not supply[of(stock[at])]:
+                    at -= 1
+                if at < 0:
+                    break
+                n = stock[at]
+                take = int(min(count, left[n], supply[of(n)]))
+                place(n, take, first, used)
+                supply[of(n)] -= take
+                open_up(capacity - used - n, first, take)
+                first, count = first + take, count - take
+                if not left[n]:
+                    by_class[of(n)].remove(n)
+                    stock.pop(at)
             open_up(capacity - used, first, count)
+
+    while supply.any():  # what rounding leaves is fitted again, until nothing more can be placed so
+        before = supply.sum()
+        a, x = fitted(supply.astype(float), depth)
+        shapes = [sorted(np.repeat(np.arange(classes), a[:, k].astype(int)).tolist(), reverse=True) for k in range(a.shape[1])]
+        whole = np.floor(x + 1e-9)
+        for repeats in (whole, (x - whole > 0.25).astype(float)):  # whole repeats, then those rounded up while the classes last
+            for k in sorted(np.flatnonzero(repeats), key=lambda k: (-repeats[k], whole[k] - x[k], shapes[k])):
+                times = min([int(repeats[k]), *(int(supply[c]) // shapes[k].count(c) for c in set(shapes[k]))])
+                if times > 0:
+                    fill(shapes[k], times)
+        if supply.sum() > 0.9 * before:
+            break
+    by_pattern = sum(placed.values())
     for n in sorted(left, reverse=True):
         while left[n]:
             at = bisect_left(rooms, n)
@@ -293,7 +358,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
                 open_up(capacity - n, bins, count)
                 bins += count
     runs.sort()
-    return np.array(runs, np.int64).reshape(-1, 5), bins
+    return np.array(runs, np.int64).reshape(-1, 5), bins, by_pattern
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", salts: int | None = None) -> DataFrame:
@@ -302,9 +367,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "
     ship(spark)
     cut = materialize(pieces(docs, tokenizer, capacity, key, text), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs, _ = plan(histogram, capacity)
+    runs, _, _ = plan(histogram, capacity)
     shared = spark.sparkContext.broadcast(runs)
-    salts = salts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 500_000)  # no part of a length passes that
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     nth = salted.select("*", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).alias("nth"))
     counts = salted.groupBy("length", "salt").count()
