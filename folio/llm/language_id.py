@@ -12,8 +12,8 @@ language's sample does not have, which is a phrase of its own. The language with
 counts: 0.5 for a tie, near 1 for a clear case, 1 if only one language was learned. All languages and many segments are
 stepped together by table look-ups, so Python code runs per code point of a segment, not of a text.
 
-Text is lower-cased, each run of other characters than letters counts as one blank, and symbols outside the SYMBOLS
-most frequent of the samples never match.
+Text is lower-cased, and each run of other characters than letters counts as one blank. All symbols of the samples are known: the SYMBOLS most
+frequent have columns in the table of moves (about 20 MB a language), the moves of the others, as of scripts with many signs, are listed and searched.
 A null text, one without a letter, or a model without a language gives `und` with score 0. held_out is
 crc32(doc_id as text) mod 4 = 2, false for a null doc_id. Rows that repeat a doc_id are judged alone. Empty tables give empty results.
 """
@@ -29,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm._common import ship, utf8
+from folio.llm._common import begin, caches, ship, slices, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT, SYMBOLS = 80, 24_000, 256, 95
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 _GROUP = 8192
 LITERAL = np.log2(0x110000)
 _built: dict[tuple, Model] = {}
+caches("language ID", _built.clear)
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -76,31 +80,40 @@ class Model:
         self.langs = [lang for lang, _ in samples]
         texts = [_OTHER.sub(" ", text.lower()) for _, text in samples]
         count = Counter(c for t in texts for c in t)
-        self.known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
-        self.width = len(self.known) + 1  # 0 is any other symbol
+        self.known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
+        self.total = len(self.known) + 1  # 0 is any other symbol
+        self.width = min(self.total, SYMBOLS + 1)  # symbols below have columns in the table, the moves of the others are listed
         self.blank = self.known.index(" ") + 1 if " " in self.known else 0
-        self.symbol = np.fromiter((0 if chr(i).isalpha() else self.blank for i in range(0x110000)), np.uint8, 0x110000)
+        self.symbol = np.fromiter((0 if chr(i).isalpha() else self.blank for i in range(0x110000)), np.int32, 0x110000)
         for i, c in enumerate(self.known):
             self.symbol[ord(c)] = i + 1
         self.cost = np.log2(max(map(len, texts), default=0) + 2)
-        self.unseen = np.ones((self.width, len(texts)), np.int64)
+        self.unseen = np.ones((self.total, len(texts)), np.int64)
         self.roots, tables, at = [], [], 0
+        listed: list[tuple[int, int]] = []
+        self.first_moves = np.zeros((len(texts), self.total), np.int32)  # of each language: how a phrase starts with a symbol
         for i, t in enumerate(texts):
             moves = suffix_automaton(self._symbols(t).tolist())
             for m in moves:
                 m.pop(0, None)
-            table = np.full((len(moves), self.width), 1, np.int32)  # unknown: a phrase of its own, then the root
-            table[:] += 2 * at
+            table = np.zeros((len(moves), self.width), np.int32)  # unknown: a phrase of its own, then the root
             self.unseen[list(moves[0]), i] = 0
+            self.first_moves[i] = 2 * at + 1
             for c, to in moves[0].items():
-                table[:, c] = 2 * (at + to) + 1
+                self.first_moves[i, c] = 2 * (at + to) + 1
+            table[:] = self.first_moves[i, : self.width]
             for s, m in enumerate(moves):
-                if m:
-                    table[s, list(m)] = [2 * (at + to) for to in m.values()]
+                dense = [c for c in m if c < self.width]
+                if dense:
+                    table[s, dense] = [2 * (at + m[c]) for c in dense]
+                listed += [((at + s) * self.total + c, 2 * (at + to)) for c, to in m.items() if c >= self.width]
             self.roots.append(at)
             tables.append(table)
             at += len(moves)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        listed.sort()
+        self.rare_keys = np.array([k for k, _ in listed] + [1 << 62], np.int64)
+        self.rare_moves = np.array([v for _, v in listed] + [0], np.int32)
 
     def _symbols(self, text: str) -> np.ndarray:
         """Symbols of a lower-case text, with one blank for each run of other characters than letters."""
@@ -115,7 +128,7 @@ class Model:
         """The number of phrases of each text in each language."""
         total = np.zeros((len(texts), len(self.langs)), np.int64)
         parts = [self._symbols(t.lower()) for t in texts]
-        whole = np.concatenate([np.zeros(0, np.uint8), *parts])
+        whole = np.concatenate([np.zeros(0, np.int32), *parts])
         sizes = np.array([len(p) for p in parts], np.int64)
         many = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), many)
@@ -123,7 +136,7 @@ class Model:
         start = np.repeat(np.cumsum(sizes) - sizes, many) + nth * SEGMENT
         length = np.minimum(SEGMENT, np.repeat(sizes, many) - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
-        whole = np.concatenate([whole, np.zeros(SEGMENT, np.uint8)])
+        whole = np.concatenate([whole, np.zeros(SEGMENT, np.int32)])
         for at in range(0, len(order), _GROUP):
             own = order[at : at + _GROUP]
             symbols = np.ascontiguousarray(whole[start[own][:, None] + np.arange(int(length[own[0]]))].T)
@@ -131,7 +144,13 @@ class Model:
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(own), axis=1)
             count = np.zeros(state.shape, np.int32)
             for step, n in enumerate(active.tolist()):
-                move = self.table.take(state[:, :n] * np.int32(self.width) + symbols[step, :n])
+                now = symbols[step, :n]
+                rare = np.flatnonzero(now >= self.width) if self.total > self.width else ()
+                move = self.table.take(state[:, :n] * np.int32(self.width) + (np.where(now < self.width, now, 0) if len(rare) else now))
+                if len(rare):
+                    key = state[:, rare].astype(np.int64) * self.total + now[rare]
+                    found = np.searchsorted(self.rare_keys, key)
+                    move[:, rare] = np.where(self.rare_keys[found] == key, self.rare_moves[found], self.first_moves[:, now[rare]])
                 count[:, :n] += move & 1
                 state[:, :n] = move >> 1
             np.add.at(total, owner[own], count.T + 1)
@@ -139,13 +158,13 @@ class Model:
 
     def literals(self, texts: list[str]) -> np.ndarray:
         """The number of symbols of each text that each language's sample does not have."""
-        counts = [np.bincount(self._symbols(t.lower()), minlength=self.width) for t in texts]
-        return np.array(counts, np.int64).reshape(-1, self.width) @ self.unseen
+        counts = [np.bincount(self._symbols(t.lower()), minlength=self.total) for t in texts]
+        return np.array(counts, np.int64).reshape(-1, self.total) @ self.unseen
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and the score."""
         langs, score = ["und"] * len(texts), np.zeros(len(texts))
-        at = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         if at:
             lettered = [texts[i] for i in at]
             cost = self.phrases(lettered) * self.cost + self.literals(lettered) * (LITERAL - self.cost)
@@ -167,18 +186,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     take = SAMPLE_CHARS // SAMPLE_DOCS
     middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((F.length(text) - take) / 2).cast("int") + 1), F.lit(take))
     lettered = docs.where(middle.rlike(r"\p{L}"))  # a null text has none
-    ids = lettered.select(F.col(key).cast("long").alias("id"), F.col(lang).cast("string").alias("name"))
-    train = ids.where(F.col("name").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("id"), "id"))
-    chosen = {r[0] for r in train.select("id", rank.alias("nth"), "name").where(F.col("nth") <= SAMPLE_DOCS).collect()}
-    if not chosen:
-        return ()
-    rows = lettered.where(F.col(key).isin(sorted(chosen)) & F.col(lang).isNotNull())
-    found = sorted((r[0], r[1], r[2]) for r in rows.select(F.col(lang).cast("string"), F.col(key).cast("long"), middle).distinct().collect())
+    rows = lettered.select(F.col(key).cast("long").alias("id"), F.col(lang).cast("string").alias("name"), middle.alias("part"))
+    train = rows.where(F.col("name").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("id"), "id", "part"))
+    found = sorted(tuple(r) for r in train.select("name", "id", "part", rank.alias("nth")).where(F.col("nth") <= SAMPLE_DOCS).select("name", "id", "part").collect())
     samples: dict[str, list[str]] = {}
     for name, _, part in found:
         samples.setdefault(name, []).append(part)
-    return tuple((name, " ".join(parts[:SAMPLE_DOCS])) for name, parts in sorted(samples.items()) if any(map(_LETTER.search, parts)))
+    return tuple((name, " ".join(parts[:SAMPLE_DOCS])) for name, parts in sorted(samples.items()) if any(map(has_letter, parts)))
 
 
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
@@ -195,8 +210,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None
     samples = fit(docs, key, text, lang) if samples is None else samples
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language ID")
         model = _model(samples)
-        for b in batches:
+        for b in slices(batches, 2000):
             langs, score = model.predict(b.column(2).to_pylist())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -211,8 +227,9 @@ def keep_identified(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language ID")
         model = _model(samples)
-        for b in batches:
+        for b in slices(batches, 2000):
             langs, _ = model.predict(utf8(b.column(at)).to_pylist())
             yield b.filter(pa.array([x != "und" for x in langs], pa.bool_()))
 
