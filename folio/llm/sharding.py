@@ -19,11 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm._common import parallelism, range_bounds, range_group, ship
+from folio.llm._common import materialize, parallelism, range_bounds, range_group, ship
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (0 up) of key among shards of these weights; a weight of 0 gets no rows."""
+def best(key: Column, weights: Sequence[float], since: int = 0) -> Column:
+    """struct<score, minus> of the best shard from number `since` on; minus is its number below 0."""
     if not weights or any(w < 0 for w in weights) or not any(weights):
         raise ValueError("weights must be numbers of at least 0, and one above 0")
     name = F.coalesce(key.cast("string"), F.lit(""))
@@ -33,8 +33,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
         u = (digits + F.lit(0.5)) / F.lit(float(1 << 52))
         return F.struct((F.lit(-float(weight)) / F.ln(u)).alias("score"), F.lit(-shard).alias("minus"))
 
-    scores = [score(i, w) for i, w in enumerate(weights) if w]
-    return -(F.greatest(*scores) if len(scores) > 1 else scores[0])["minus"]
+    scores = [score(i, w) for i, w in enumerate(weights) if w and i >= since]
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard (0 up) of key among shards of these weights; a weight of 0 gets no rows."""
+    return -best(key, weights)["minus"]
 
 
 def shard(docs: DataFrame, shards: int = 16, weights: Sequence[float] | None = None, new_weight: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,8 +51,10 @@ def shard(docs: DataFrame, shards: int = 16, weights: Sequence[float] | None = N
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     bounds = range_bounds(docs, key, parallelism(docs))
     k = F.col(key)
-    rows = docs.select(k.cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("key").alias("law"), rendezvous(k, weights).cast("int").alias("shard"), rendezvous(k, [*weights, new_weight]).cast("int").alias("grown_shard"))
-    rows = rows.withColumn("part", range_group(bounds, F.col("doc_id")))
+    rows = docs.select(k.cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("key").alias("law"), best(k, weights).alias("old"), best(k, [*weights, new_weight], len(weights)).alias("new") if new_weight else F.lit(None).cast("struct<score: double, minus: int>").alias("new"))
+    grown = -F.greatest("old", "new")["minus"]  # the new shard's score is the only one that joins
+    rows = rows.select("doc_id", "size", "text_crc32", "law", (-F.col("old.minus")).cast("int").alias("shard"), grown.cast("int").alias("grown_shard"))
+    rows = materialize(rows.withColumn("part", range_group(bounds, F.col("doc_id"))), "shards")  # read for slots and for counts
     within = Window.partitionBy("shard", "part")
     order = [F.col("doc_id").asc_nulls_last(), "size", "text_crc32"]
     rows = rows.select("*", F.row_number().over(within.orderBy(*order)).alias("nth"))
