@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import parallelism, range_bounds, range_group, ship, utf8
+from folio.llm._common import parallelism, range_bounds, range_group, range_start, ship, utf8
 
-SHINGLE, FRACTION = 5, 1 / 8
+SHINGLE, FRACTION = 5, 1 / 4
 
 
 def sketch(text: bytes, size: int = SHINGLE, fraction: float = FRACTION) -> np.ndarray:
@@ -91,7 +91,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", fracti
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = range_group(bounds, F.col("doc_id"))
     # a bound is the first doc_id of its range: its rows also go to the range before, as what follows there
-    first = F.col("doc_id").isin(bounds) if bounds else F.lit(True)
+    first = range_start(bounds, F.col("doc_id")) if bounds else F.lit(True)
     before = F.pmod(F.col("grp") - 1, F.lit(groups))
     dealt = rows.withColumn("grp", own).select("doc_id", "text", F.explode(F.when(first, F.array(F.struct(F.col("grp"), F.lit(False).alias("follows")), F.struct(before.alias("grp"), F.lit(True).alias("follows")))).otherwise(F.array(F.struct(F.col("grp"), F.lit(False).alias("follows"))))).alias("to"))
     dealt = dealt.select("doc_id", "text", "to.grp", "to.follows")
