@@ -62,6 +62,14 @@ def _arc_line(version: int, url: str, ip: str, date: str, kind: str, length: int
     return f"{url or 'about:blank'} {ip} {date} {kind}{more} {length}\n".encode()
 
 
+def header_text(line: bytes) -> str:
+    """A header line as text: UTF-8, or Latin-1 where it is not, as old crawlers wrote it."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def read_arc(data: bytes) -> Iterator[dict]:
     """The URL records of an ARC file, by its version's fields and declared lengths. Raises ValueError if it is broken."""
     at, version = 0, None
@@ -70,7 +78,7 @@ def read_arc(data: bytes) -> Iterator[dict]:
             at += 1
             continue
         end = data.index(b"\n", at)
-        parts = data[at:end].decode("utf-8").split(" ")
+        parts = header_text(data[at:end]).split(" ")
         length = int(parts[-1])
         body = data[end + 1 : end + 1 + length]
         if len(body) != length:
