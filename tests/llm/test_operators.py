@@ -251,6 +251,39 @@ def test_doc_fingerprint(docs, rows, odd):
     assert D.fingerprint(odd).count() == 5 and not D.fingerprint(odd.limit(0)).collect()
 
 
+def test_fingerprints_against_independent_ones(spark):
+    """Fingerprints, both likenesses and their error against sets of words made here."""
+    from folio.llm import doc_fingerprint as D
+
+    limit = int(D.FRACTION * 2**64)
+
+    def shingles(text):
+        w = text.encode().split()
+        return {xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def kept(found):
+        return sorted(h for h in found if h < limit) or sorted(found)[:1]
+
+    def index(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 1.0
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(x.doc_id, x.text) for x in docs.orderBy("doc_id").collect()]
+    got = {x.doc_id: x for x in D.fingerprint(docs).collect()}
+    errors = []
+    for k, (i, text) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        half = len(text) // 2
+        changed = text[: len(text) - half] + after[:half]
+        a, b, c = shingles(text), shingles(changed), shingles(after)
+        assert got[i].fingerprint == "".join(f"{h:016x}" for h in kept(a)) and got[i].edited_fingerprint == "".join(f"{h:016x}" for h in kept(b))
+        assert abs(got[i].near_edited - index(kept(a), kept(b))) < 1e-12 and abs(got[i].near_next - index(kept(a), kept(c))) < 1e-12
+        if len(a) >= 150:
+            errors.append(abs(got[i].near_edited - index(a, b)))
+    print("mean error", np.mean(errors), "largest", max(errors))
+    assert np.mean(errors) < 0.04
+
+
 def test_sketches_merge_and_estimate():
     from folio.llm import doc_fingerprint as D
 
@@ -312,7 +345,7 @@ def test_packing_plan_is_whole_and_near_the_bound(n):
 
     lengths = np.clip(np.random.default_rng(n).lognormal(6.5, 1.1, n).astype(int), 1, 4096)
     histogram = dict(Counter(lengths.tolist()))
-    runs, _ = P.plan(histogram)
+    runs, _, _ = P.plan(histogram)
     sequences, count = defaultdict(list), Counter()
     for length, place, many, first, offset in runs.tolist():
         assert place == count[length]
@@ -325,6 +358,55 @@ def test_packing_plan_is_whole_and_near_the_bound(n):
     assert len(sequences) <= 1.01 * -(-int(lengths.sum()) // 4096) + 2
 
 
+def test_patterns_place_nearly_all_pieces_of_the_documents():
+    """On the histogram of all documents of sf0.1: the share of pieces that patterns place, and the sequences against the bound."""
+    import public_tokenizers
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from folio.llm import packing as P
+    from folio.llm._common import utf8
+
+    texts = utf8(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"])
+    histogram = Counter()
+    for ids in P.word_ids(texts.cast(pa.large_string()), public_tokenizers.path("word_bpe_49k.json")):
+        full, rest = divmod(len(ids) // 4 + 1, 4096)
+        histogram[4096] += full
+        histogram[rest] += 1
+    histogram = {n: c for n, c in histogram.items() if n and c}
+    pieces = sum(histogram.values())
+    _, sequences, by_pattern = P.plan(histogram)
+    bound = -(-sum(n * c for n, c in histogram.items()) // 4096)
+    print("by pattern", by_pattern / pieces, "sequences", sequences, "bound", bound)
+    assert by_pattern > 0.9 * pieces and sequences <= 1.01 * bound
+
+
+def test_long_documents_are_cut_and_packed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from folio.llm import packing as P
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = {1: "x " * 9000, 2: "the y " * 5000, 3: "z", 4: "x " * 4095, 5: "x " * 4096}
+    sequences = defaultdict(list)
+    pieces = defaultdict(list)
+    for r in P.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path).collect():
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    tokenizer = Tokenizer.from_file(path)
+    for i, t in texts.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert sorted(pieces[i]) == [(n // 4096, n, len(ids[n : n + 4096]), zlib.crc32(np.array(ids[n : n + 4096], "<u4").tobytes())) for n in range(0, len(ids), 4096)]
+    assert [len(pieces[i]) for i in texts] == [3, 3, 1, 1, 2]
+    for places in sequences.values():
+        ends = [0]
+        for offset, length in sorted(places):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 4096
+
+
 def simhash(text):
     words = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
@@ -419,6 +501,30 @@ def test_language_id_accuracy_and_odd_rows(spark):
     assert [r.doc_id for r in keep_identified(few).collect()] == [4] and not identify(few.limit(0)).collect()
 
 
+def test_numerals_are_no_letters_and_all_symbols_are_kept(spark, monkeypatch):
+    from folio.llm import language_id as I
+
+    r = random.Random(1)
+    han = [chr(0x4E00 + i) for i in range(900)]
+    zh = lambda: "".join(r.choice(han[:450]) for _ in range(60))
+    ja = lambda: "".join(r.choice(han[450:] + [chr(0x3042 + i) for i in range(40)]) for _ in range(60))
+    rows = [(i, t(), lang) for i, (t, lang) in enumerate([(zh, "zh"), (ja, "ja"), (lambda: " ".join(r.choice(WORDS) for _ in range(12)), "en")] * 60)]
+    docs = spark.createDataFrame(rows + [(900, "½ ②", "en"), (901, "", "en"), (902, "x" * 50_000, "en"), (902, "x" * 50_000, "en")], "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as lang_pred")
+    got = I.identify(docs).collect()
+    assert len(got) == 184
+    by = {x.doc_id: x for x in got}
+    assert (by[900].lang_pred, by[900].score) == ("und", 0.0) and by[901].lang_pred == "und" and by[902].lang_pred == "en"
+    right = sum(by[i].lang_pred == lang for i, _, lang in rows)
+    assert right >= 0.98 * len(rows), right
+    # the moves that are listed count like those of the table
+    samples = I.fit(docs)
+    texts = [t for _, t, _ in rows[:40]] + ["未知 abc Ω"]
+    whole = I.Model(samples)
+    monkeypatch.setattr(I, "SYMBOLS", 5000)
+    dense = I.Model(samples)
+    assert dense.width > whole.width and (dense.phrases(texts) == whole.phrases(texts)).all() and (dense.literals(texts) == whole.literals(texts)).all()
+
+
 def test_small_samples_and_nulls_do_not_win(spark):
     from folio.llm.language_id import Model, fit
 
