@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from folio.functions.models import HashingEmbedder, tokenize
 from folio.operators import answer as A
 from folio.operators import control
 from folio.operators import retrieval as R
-from folio.session import shared_dir
+from folio.session import temporary
 from folio.sources import reports
 from folio.sources.markdown import synthetic_documents, valid_documents
 from folio.sources.store import Store
@@ -42,7 +41,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_store(spark: SparkSession) -> Store:
-    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, temporary(spark, "store"))
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:

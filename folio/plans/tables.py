@@ -32,20 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _question(spark: SparkSession, sf_dir: str, which: str = "item_id = 0") -> DataFrame:
-    return table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
-def _vector(spark: SparkSession, sf_dir: str, which: str = "vec_id = 0") -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-
-
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _question(spark, sf_dir, "item_id % 50 = 0")
+    return table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vector(spark, sf_dir, "vec_id % 50 = 0")
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query("SELECT doc_id, substr(text, 1, 100) AS preview FROM documents")
@@ -102,9 +94,9 @@ dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1),
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term, n),
 stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id = 0),
-score AS (SELECT p.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post p JOIN q USING (term) JOIN stats USING (term) JOIN dl USING (doc_id), corpus GROUP BY 1),
-best AS (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 10)"""
+q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 50 = 0),
+score AS (SELECT q.query_id, p.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post p JOIN q USING (term) JOIN stats USING (term) JOIN dl USING (doc_id), corpus GROUP BY 1, 2),
+best AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 10)"""
 
 
 @query(f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM stats")
@@ -113,103 +105,16 @@ def bm25_term_stats(spark, sf_dir):
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {_bm25()} SELECT * FROM best")
-def bm25_topk(spark, sf_dir):
-    return R.bm25_top(table(spark, sf_dir, "documents"), _question(spark, sf_dir)).drop("query_id")
-
-
-@query(f"WITH part AS (SELECT * FROM documents WHERE source IN ('src1', 'src3')), {_bm25('part')} SELECT * FROM best")
-def bm25_filtered_topk(spark, sf_dir):
-    return R.bm25_top(source_filter(spark, sf_dir), _question(spark, sf_dir)).drop("query_id")
-
-
-_VECTORS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0),
-s AS (SELECT vec_id, label, e, q, list_sum(list_transform(list_zip(e, q), lambda x: power(x[1] - x[2], 2))) AS l2,
-  list_dot_product(e, q) / nullif(sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)), 0) AS cos FROM v, q)"""
-
-
-@query(f"WITH {_VECTORS} SELECT vec_id, round(l2, 6) AS score, CAST(row_number() OVER (ORDER BY round(l2, 6), vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
-def knn_l2_topk(spark, sf_dir):
-    return R.knn(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).drop("query_id")
-
-
-@query(f"WITH {_VECTORS} SELECT vec_id, round(cos, 6) AS score, CAST(row_number() OVER (ORDER BY round(cos, 6) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
-def cosine_topk(spark, sf_dir):
-    return R.knn(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), metric="cosine").drop("query_id")
-
-
-@query(f"WITH {_VECTORS} SELECT label, vec_id, round(l2, 6) AS score, CAST(row_number() OVER (PARTITION BY label ORDER BY round(l2, 6), vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
-def knn_per_label(spark, sf_dir):
-    return R.knn_by(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), "label").drop("query_id")
-
-
 def _evaluated(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return R.evaluate(R.knn(vectors, q).join(vectors, "vec_id").select("query_id", "rank", "embedding"), q)
 
 
-@query(f"""WITH {_VECTORS}, top AS (SELECT e, cos, row_number() OVER (ORDER BY round(l2, 6), vec_id) AS rank FROM s QUALIFY rank <= 10)
-SELECT round(avg(cos), 6) AS avg_cosine, round(max(cos), 6) AS max_cosine,
-  (SELECT round(1 - avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) FROM top a JOIN top b ON a.rank < b.rank) AS diversity FROM top""")
-def retrieval_eval(spark, sf_dir):
-    return _evaluated(spark, sf_dir, _vector(spark, sf_dir)).drop("query_id")
-
-
-_JACCARD = """sets AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
-qs AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS qw FROM benchmark WHERE item_id = 0),
-jac AS (SELECT doc_id, round(coalesce(len(list_intersect(w, qw)) / nullif(len(w) + len(qw) - len(list_intersect(w, qw)), 0), 0), 6) AS j FROM sets, qs),
-arm AS (SELECT doc_id, j AS score, CAST(row_number() OVER (ORDER BY j DESC, doc_id) AS INTEGER) AS rank FROM jac QUALIFY rank <= 10),
-both_arms AS (SELECT *, 'bm25' AS origin FROM best UNION ALL SELECT *, 'overlap' AS origin FROM arm)"""
-
-
 def _arms(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return R.hybrid({"bm25": R.bm25_top(docs, q), "overlap": R.overlap_top(docs, q)})
 
 
-@query(f"WITH {_bm25()}, {_JACCARD} SELECT doc_id, score, rank, origin FROM both_arms")
-def hybrid_union(spark, sf_dir):
-    return _arms(spark, sf_dir, _question(spark, sf_dir)).drop("query_id")
-
-
-@query(f"""WITH {_bm25()}, {_JACCARD}
-SELECT doc_id, origin, score, CAST(r AS INTEGER) AS rank FROM (SELECT doc_id, origin, j AS score, row_number() OVER (ORDER BY j DESC, doc_id, origin) AS r FROM (SELECT doc_id, origin FROM both_arms) JOIN jac USING (doc_id)) WHERE r <= 10""")
-def rerank_topk(spark, sf_dir):
-    q = _question(spark, sf_dir)
-    return R.rerank(_arms(spark, sf_dir, q), table(spark, sf_dir, "documents"), q).drop("query_id")
-
-
-def _store_and_batch(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return docs.where("doc_id % 5 < 3"), docs.where("doc_id % 5 >= 3 and doc_id % 7 < 2").withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new"), F.col("source"))).otherwise(F.col("source")))
-
-
-_UPSERT = """store AS (SELECT source, doc_id, text FROM documents WHERE doc_id % 5 < 3),
-batch AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'new' || source ELSE source END AS source, doc_id, text FROM documents WHERE doc_id % 5 >= 3 AND doc_id % 7 < 2)"""
-
-
-@query(f"WITH {_UPSERT} SELECT * FROM batch WHERE source IN (SELECT source FROM store)")
-def upsert_existing(spark, sf_dir):
-    store, batch = _store_and_batch(spark, sf_dir)
-    return U.existing(batch, store)
-
-
-@query(f"WITH {_UPSERT} SELECT * FROM batch WHERE source NOT IN (SELECT source FROM store)")
-def upsert_new(spark, sf_dir):
-    store, batch = _store_and_batch(spark, sf_dir)
-    return U.new(batch, store)
-
-
-@query(f"WITH {_UPSERT} SELECT * FROM store WHERE source NOT IN (SELECT source FROM batch) UNION ALL SELECT * FROM batch")
-def upsert_replace(spark, sf_dir):
-    return U.upsert(*_store_and_batch(spark, sf_dir))
-
-
-@query(f"WITH {_UPSERT} SELECT * FROM store UNION ALL SELECT * FROM batch WHERE source NOT IN (SELECT source FROM store)")
-def upsert_append(spark, sf_dir):
-    return U.upsert(*_store_and_batch(spark, sf_dir), replace=False)
-
-
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'missing: k' END AS error FROM events")
 def json_props(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
@@ -230,14 +135,6 @@ def conversation_stats(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM documents), b AS (SELECT item_id, substr(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 1, 12) AS h FROM benchmark WHERE item_id < 5)
-SELECT doc_id, item_id, round(1 - levenshtein(h, substr(t, 1, length(h))) / nullif(length(h), 0), 6) AS similarity FROM d, b""")
-def levenshtein_heads(spark, sf_dir):
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    heads = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.substring(plain, 1, 12).alias("head"))
-    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(heads)).select("doc_id", "item_id", F.round(levenshtein_similarity(F.col("head"), plain), 6).alias("similarity"))
-
-
 @query("""WITH t AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch(ts) - epoch(before) > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM t)
 SELECT user_id, CAST(n AS BIGINT) AS session, count(*) AS beats FROM s GROUP BY 1, 2""")
@@ -248,11 +145,6 @@ def heartbeat_sessions(spark, sf_dir):
     return rows.withColumn("session", F.sum("starts").over(by)).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("beats"))
 
 
-@query(f"WITH {_VECTORS} SELECT label, round(avg(cos), 6) AS avg_cosine, round(max(cos), 6) AS max_cosine FROM s GROUP BY label")
-def cosine_by_label(spark, sf_dir):
-    return _by_label(spark, sf_dir, _vector(spark, sf_dir)).drop("query_id")
-
-
 def _by_label(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(q))
     c = cosine(F.col("embedding"), F.col("q"))
@@ -266,79 +158,67 @@ def chunk_recursive(spark, sf_dir):
     return recursive(table(spark, sf_dir, "documents"), 500)
 
 
-# The same searches for every id divisible by 50; ranks are within a query.
-
-
-def _bm25_batch(source: str = "documents") -> str:
-    return f"""tokens AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM {source}),
-post AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
-dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1),
-corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term, n),
-stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 50 = 0),
-score AS (SELECT q.query_id, p.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post p JOIN q USING (term) JOIN stats USING (term) JOIN dl USING (doc_id), corpus GROUP BY 1, 2),
-best AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 10)"""
+# Searches for every id divisible by 50; ranks are within a query.
 
 
-@query(f"WITH {_bm25_batch()} SELECT * FROM best")
-def bm25_topk_batch(spark, sf_dir):
+@query(f"WITH {_bm25()} SELECT * FROM best")
+def bm25_topk(spark, sf_dir):
     return R.bm25_top(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
 
 
-@query(f"WITH part AS (SELECT * FROM documents WHERE source IN ('src1', 'src3')), {_bm25_batch('part')} SELECT * FROM best")
-def bm25_filtered_topk_batch(spark, sf_dir):
+@query(f"WITH part AS (SELECT * FROM documents WHERE source IN ('src1', 'src3')), {_bm25('part')} SELECT * FROM best")
+def bm25_filtered_topk(spark, sf_dir):
     return R.bm25_top(source_filter(spark, sf_dir), _questions(spark, sf_dir))
 
 
-_VECTORS_BATCH = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0),
+_VECTORS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, label, e, q, list_sum(list_transform(list_zip(e, q), lambda x: power(x[1] - x[2], 2))) AS l2,
   list_dot_product(e, q) / nullif(sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)), 0) AS cos FROM v, q)"""
 
 
-@query(f"WITH {_VECTORS_BATCH} SELECT query_id, vec_id, round(l2, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(l2, 6), vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
-def knn_l2_topk_batch(spark, sf_dir):
+@query(f"WITH {_VECTORS} SELECT query_id, vec_id, round(l2, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(l2, 6), vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def knn_l2_topk(spark, sf_dir):
     return R.knn(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir))
 
 
-@query(f"WITH {_VECTORS_BATCH} SELECT query_id, vec_id, round(cos, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 6) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
-def cosine_topk_batch(spark, sf_dir):
+@query(f"WITH {_VECTORS} SELECT query_id, vec_id, round(cos, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 6) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def cosine_topk(spark, sf_dir):
     return R.knn(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir), metric="cosine")
 
 
-@query(f"WITH {_VECTORS_BATCH} SELECT query_id, label, vec_id, round(l2, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, label ORDER BY round(l2, 6), vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
-def knn_per_label_batch(spark, sf_dir):
+@query(f"WITH {_VECTORS} SELECT query_id, label, vec_id, round(l2, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, label ORDER BY round(l2, 6), vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
+def knn_per_label(spark, sf_dir):
     return R.knn_by(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir), "label")
 
 
-@query(f"""WITH {_VECTORS_BATCH}, top AS (SELECT query_id, e, cos, row_number() OVER (PARTITION BY query_id ORDER BY round(l2, 6), vec_id) AS rank FROM s QUALIFY rank <= 10),
+@query(f"""WITH {_VECTORS}, top AS (SELECT query_id, e, cos, row_number() OVER (PARTITION BY query_id ORDER BY round(l2, 6), vec_id) AS rank FROM s QUALIFY rank <= 10),
 d AS (SELECT a.query_id, round(1 - avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) AS diversity FROM top a JOIN top b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY 1)
 SELECT query_id, round(avg(cos), 6) AS avg_cosine, round(max(cos), 6) AS max_cosine, any_value(diversity) AS diversity FROM top LEFT JOIN d USING (query_id) GROUP BY 1""")
-def retrieval_eval_batch(spark, sf_dir):
+def retrieval_eval(spark, sf_dir):
     return _evaluated(spark, sf_dir, _query_vectors(spark, sf_dir))
 
 
-_JACCARD_BATCH = """sets AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
+_JACCARD = """sets AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
 qs AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS qw FROM benchmark WHERE item_id % 50 = 0),
 jac AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(w, qw)) / nullif(len(w) + len(qw) - len(list_intersect(w, qw)), 0), 0), 6) AS j FROM sets, qs),
 arm AS (SELECT query_id, doc_id, j AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY j DESC, doc_id) AS INTEGER) AS rank FROM jac QUALIFY rank <= 10),
 both_arms AS (SELECT *, 'bm25' AS origin FROM best UNION ALL SELECT *, 'overlap' AS origin FROM arm)"""
 
 
-@query(f"WITH {_bm25_batch()}, {_JACCARD_BATCH} SELECT query_id, doc_id, score, rank, origin FROM both_arms")
-def hybrid_union_batch(spark, sf_dir):
+@query(f"WITH {_bm25()}, {_JACCARD} SELECT query_id, doc_id, score, rank, origin FROM both_arms")
+def hybrid_union(spark, sf_dir):
     return _arms(spark, sf_dir, _questions(spark, sf_dir))
 
 
-@query(f"""WITH {_bm25_batch()}, {_JACCARD_BATCH}
+@query(f"""WITH {_bm25()}, {_JACCARD}
 SELECT query_id, doc_id, origin, score, CAST(r AS INTEGER) AS rank FROM (SELECT query_id, doc_id, origin, j AS score, row_number() OVER (PARTITION BY query_id ORDER BY j DESC, doc_id, origin) AS r FROM (SELECT query_id, doc_id, origin FROM both_arms) JOIN jac USING (query_id, doc_id)) WHERE r <= 10""")
-def rerank_topk_batch(spark, sf_dir):
+def rerank_topk(spark, sf_dir):
     q = _questions(spark, sf_dir)
     return R.rerank(_arms(spark, sf_dir, q), table(spark, sf_dir, "documents"), q)
 
 
-@query(f"WITH {_VECTORS_BATCH} SELECT query_id, label, round(avg(cos), 6) AS avg_cosine, round(max(cos), 6) AS max_cosine FROM s GROUP BY 1, 2")
-def cosine_by_label_batch(spark, sf_dir):
+@query(f"WITH {_VECTORS} SELECT query_id, label, round(avg(cos), 6) AS avg_cosine, round(max(cos), 6) AS max_cosine FROM s GROUP BY 1, 2")
+def cosine_by_label(spark, sf_dir):
     return _by_label(spark, sf_dir, _query_vectors(spark, sf_dir))
 
 
@@ -376,35 +256,35 @@ def _store_and_rest(spark, sf_dir):
     return docs.where(stored), docs.where(~stored).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new"), F.col("source"))).otherwise(F.col("source")))
 
 
-_UPSERT_ALL = """store AS (SELECT source, doc_id, text FROM documents WHERE coalesce(doc_id % 5 < 3, false)),
+_UPSERT = """store AS (SELECT source, doc_id, text FROM documents WHERE coalesce(doc_id % 5 < 3, false)),
 batch AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'new' || source ELSE source END AS source, doc_id, text FROM documents WHERE NOT coalesce(doc_id % 5 < 3, false))"""
 
 
-@query(f"WITH {_UPSERT_ALL} SELECT * FROM batch WHERE EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
-def upsert_existing_all(spark, sf_dir):
+@query(f"WITH {_UPSERT} SELECT * FROM batch WHERE EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
+def upsert_existing(spark, sf_dir):
     store, batch = _store_and_rest(spark, sf_dir)
     return U.existing(batch, store)
 
 
-@query(f"WITH {_UPSERT_ALL} SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
-def upsert_new_all(spark, sf_dir):
+@query(f"WITH {_UPSERT} SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
+def upsert_new(spark, sf_dir):
     store, batch = _store_and_rest(spark, sf_dir)
     return U.new(batch, store)
 
 
-@query(f"WITH {_UPSERT_ALL} SELECT * FROM store WHERE NOT EXISTS (SELECT 1 FROM batch WHERE batch.source = store.source) UNION ALL SELECT * FROM batch")
-def upsert_replace_all(spark, sf_dir):
+@query(f"WITH {_UPSERT} SELECT * FROM store WHERE NOT EXISTS (SELECT 1 FROM batch WHERE batch.source = store.source) UNION ALL SELECT * FROM batch")
+def upsert_replace(spark, sf_dir):
     return U.upsert(*_store_and_rest(spark, sf_dir))
 
 
-@query(f"WITH {_UPSERT_ALL} SELECT * FROM store UNION ALL SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
-def upsert_append_all(spark, sf_dir):
+@query(f"WITH {_UPSERT} SELECT * FROM store UNION ALL SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.source = batch.source)")
+def upsert_append(spark, sf_dir):
     return U.upsert(*_store_and_rest(spark, sf_dir), replace=False)
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM documents), b AS (SELECT item_id, split_part(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), chr(10), 1) AS h FROM benchmark)
 SELECT doc_id, item_id, round(1 - levenshtein(h, substr(t, 1, length(h))) / nullif(length(h), 0), 6) AS similarity FROM d, b""")
-def levenshtein_heads_all(spark, sf_dir):
+def levenshtein_heads(spark, sf_dir):
     """Every pair has a similarity, so none can be blocked away."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
     heads = table(spark, sf_dir, "benchmark").select("item_id", F.split_part(plain, F.lit("\n"), F.lit(1)).alias("head"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -39,18 +40,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+def materialize(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing. The
+    table goes when the session ends, or with sweep() once no plan reads it."""
     spark = df.sparkSession
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not hasattr(sc, "_folio_tables"):
+        sc._folio_tables = {}
+        atexit.register(_forget_all, spark)
+    # every plan made from the table shares its relation, so the table is needed as long as that lives
+    relation = out._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+    sc._folio_tables[path] = sc._jvm.java.lang.ref.WeakReference(relation)
+    return out
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for this session's own use; what is there goes when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_forget_quietly, spark, path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables of materialize() that no plan reads any more, and lets Spark delete shuffle files that nothing refers to; both
+    show when the driver's JVM collects garbage."""
+    sc = spark.sparkContext
+    gc.collect()
+    sc._jvm.System.gc()
+    known = getattr(sc, "_folio_tables", {})
+    for path in [p for p, held in known.items() if held.get() is None]:
+        del known[path]
+        _forget(spark, path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _forget_quietly(spark: SparkSession, path: str) -> None:
     try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _forget(spark, path)
     except Exception:  # noqa: BLE001  the session may have ended before
         pass
+
+
+def _forget_all(spark: SparkSession) -> None:
+    for path in spark.sparkContext._folio_tables:
+        _forget_quietly(spark, path)

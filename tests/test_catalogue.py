@@ -162,10 +162,10 @@ def test_headings_are_matched_with_whole_documents(spark, texts):
 def test_upserts_and_heads_take_all_rows(spark):
     rows = lambda name: catalogue.QUERIES[name](spark, DATA)
     docs, heads = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
-    batch = {r.doc_id for name in ("upsert_existing_all", "upsert_new_all") for r in rows(name).collect()}
+    batch = {r.doc_id for name in ("upsert_existing", "upsert_new") for r in rows(name).collect()}
     ids = {r.doc_id for r in docs.collect()}
     assert batch == {i for i in ids if i % 5 >= 3}
-    known = {r.doc_id for r in rows("upsert_existing_all").collect()}
-    assert {r.doc_id for r in rows("upsert_append_all").collect()} == ids - known  # rows of known sources are skipped
-    assert batch <= {r.doc_id for r in rows("upsert_replace_all").collect()}
-    assert rows("levenshtein_heads_all").count() == docs.count() * heads.count()
+    known = {r.doc_id for r in rows("upsert_existing").collect()}
+    assert {r.doc_id for r in rows("upsert_append").collect()} == ids - known  # rows of known sources are skipped
+    assert batch <= {r.doc_id for r in rows("upsert_replace").collect()}
+    assert rows("levenshtein_heads").count() == docs.count() * heads.count()

@@ -190,3 +190,24 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_engine_from_a_folder_to_answers(spark, tmp_path):
+    from folio.engine import Engine
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "cats.md").write_text("# Cats\nCats sleep all day.\n# Food\nCats eat fish.", encoding="utf-8")
+    (tmp_path / "in" / "dogs.md").write_text("# Dogs\nDogs run and eat meat.", encoding="utf-8")
+    (tmp_path / "in" / "bad.md").write_bytes(b"\xff\xfe")
+    engine = Engine(spark)
+    done = engine.ingest_dir(str(tmp_path / "in"), -1)
+    assert done.batch == 0 and done.features == {"cats.md": 2, "dogs.md": 1} and len(done.warnings) == 1
+    engine.preload()
+    assert engine.loaded() == ["chunks", "postings", "vectors"] and engine.table("chunks").count() == 3
+    best = engine.retrieve("who does eat meat", 1).collect()
+    assert [(r.source, r["rank"]) for r in best] == [("dogs.md", 1)] and "meat" in best[0].text
+    asked = spark.createDataFrame([(1, "what do they eat in cats.md"), (2, "dogs run")], "query_id long, query string")
+    got = {r.query_id: r for r in engine.answer(asked, 1).collect()}
+    assert got[1].sources == ["cats.md"] and "fish" in got[1].answer and "Dogs run" in got[2].answer
+    engine.ingest_dir(str(tmp_path / "in"), -1)
+    assert engine.loaded() == [] and engine.table("chunks").count() == 3  # replaced, not doubled
