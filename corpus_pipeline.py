@@ -7,6 +7,8 @@ kept, and returns a DataFrame, which is written as Parquet and read again as the
 4. substring dedup: later copies of passages of 20 words or more are taken out.
 5. best-fit packing: the documents' tokens in sequences of 4,096.
 
+A stage begins by deleting what earlier ones wrote for themselves and no plan reads any more.
+
 Rows keep the columns of documents until the last stage; n_chars follows the text. Nulls, ties and repeated rows are
 treated as the operators' docstrings say."""
 
@@ -15,28 +17,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import language_id, line_dedup, packing, simhash, substring_dedup
-from folio.llm._common import materialize
+from folio.llm._common import materialize, sweep
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return line_dedup.drop_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return simhash.keep_one(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return substring_dedup.substring_dedup(docs, window=20)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    sweep(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

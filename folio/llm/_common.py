@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,29 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.session import shared_dir, ship
+from folio.session import materialize, shared_dir, ship, sweep
 
-__all__ = ["begin", "caches", "clean_shuffles", "connected_components", "materialize", "numbered", "parallelism", "range_bounds", "range_group", "range_start", "raw", "shared_dir", "ship", "slices", "utf8"]
+__all__ = ["begin", "caches", "connected_components", "materialize", "numbered", "parallelism", "range_bounds", "range_group", "range_start", "raw", "shared_dir", "ship", "slices", "sweep", "utf8"]
 
 #: Parquet bytes of input that one group or bucket should hold at most.
 GROUP_BYTES = 8 << 20
 
 
-def materialize(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _caches: dict[str, Callable[[], None]] = {}
 _busy = [""]
 
@@ -75,15 +58,6 @@ def numbered(df: DataFrame, row: str, text: str) -> DataFrame:
     return materialize(df.withColumn(row, F.struct(F.xxhash64(text).alias("text"), F.monotonically_increasing_id().alias("n"))), "rows")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
-
-
 def leaf_bytes(df: DataFrame) -> int:
     """Bytes of what df scans, as the optimizer knows them; 0 where it does not."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

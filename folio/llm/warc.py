@@ -210,6 +210,6 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes WARC archives of pages to the shared folder and reads them back: a row for each page."""
     spark = pages.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = temporary(spark, "warc")
     write_archives(pages, path, least)
     return read_archives(spark, path)
