@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.functions.text import strip
+
 MAX_BYTES = 10 << 20
 PATTERN = "*.[mM][dD]"
 
@@ -76,7 +78,7 @@ def valid_documents(docs: DataFrame) -> DataFrame:
     for name in ("text", "source"):
         if name not in docs.columns:
             raise ValueError(f"documents need a column {name}")
-    return docs.where(F.col("text").isNotNull() & (F.trim("text") != "")).withColumn("source", F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("未知来源")))
+    return docs.where(F.col("text").isNotNull() & (strip(F.col("text")) != "")).withColumn("source", F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("未知来源")))
 
 
 def synthetic_documents(spark: SparkSession, n: int, seed: int = 0, sections: int = 4) -> DataFrame:

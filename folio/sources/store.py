@@ -63,9 +63,9 @@ class Store:
     def postings(self, sources: list[str] | None = None) -> DataFrame:
         return self.table("postings", sources)
 
-    def add(self, chunks: DataFrame, replace: bool = True) -> int:
+    def add(self, chunks: DataFrame, replace: bool = True, emptied: DataFrame | None = None) -> int:
         """Adds chunks (source, chunk_id, text, ...) as a batch and returns its number. With replace the sources' old chunks no longer count;
-        without, only chunks of unknown sources are added."""
+        without, only chunks of unknown sources are added. Old chunks of the sources in `emptied` no longer count either."""
         known = self.batches()
         if known and not replace:
             chunks = chunks.join(self.sources().select("source"), "source", "left_anti")
@@ -80,20 +80,15 @@ class Store:
         rows.select("id", "source", embed(F.col("text"), self.embedder).alias("embedding")).write.parquet(place["vectors"])
         words = rows.select("id", "source", self.tokenizer(F.col("text")).alias("words"))
         words.select("id", "source", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "source", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).write.parquet(place["postings"])
-        rows.select("source").distinct().write.parquet(place["sources"])
+        brought = rows.select("source") if emptied is None else rows.select("source").unionByName(emptied.select("source"))
+        brought.distinct().write.parquet(place["sources"])
         fs.mkdirs(self._fs(f"{self.root}/committed/{number}")[1])
         return number
 
     def remove(self, sources: list[str]) -> int:
         """A batch without chunks in which the sources stand, so that their old chunks no longer count."""
         names = self.spark.createDataFrame([(s,) for s in sources], "source string")
-        known = self.batches()
-        schema = self._all("chunks").drop("batch", "id").schema
-        number = self.add(self.spark.createDataFrame([], schema))
-        if not known:
-            return number
-        names.write.mode("overwrite").parquet(f"{self.root}/sources/batch={number}")
-        return number
+        return self.add(self._all("chunks").drop("batch", "id").limit(0), emptied=names)
 
     def registry(self) -> DataFrame:
         """The sources that have chunks."""

@@ -142,7 +142,7 @@ def test_judges_and_metrics(spark):
 
     rows = spark.createDataFrame([(1, "red fox", "the red fox ran. A blue whale sang.", "the red fox ran"), (2, "x", A.EMPTY, None)], "query_id long, query string, answer string, sources string")
     judged = A.judge(rows, lambda task, text: f"I give {len(task) % 5 + 1} of 5").collect()[0]
-    assert (judged.faithfulness, judged.relevance, judged.completeness) == (13 % 5 + 1, 9 % 5 + 1, 12 % 5 + 1)
+    assert (judged.faithfulness, judged.relevance, judged.completeness) == (12 % 5 + 1, 9 % 5 + 1, 12 % 5 + 1)
     results = spark.createDataFrame([(1, 1, "stones and sand"), (1, 2, "the red fox ran")], "query_id long, rank int, text string")
     got = {r.query_id: r for r in A.evaluate_answers(rows.drop("sources"), results).collect()}
     assert got[1].grounded == 0.5 and got[1].context_precision == 0.5 and got[1].skipped is None
@@ -204,10 +204,10 @@ def test_engine_from_a_folder_to_answers(spark, tmp_path):
     assert done.batch == 0 and done.features == {"cats.md": 2, "dogs.md": 1} and len(done.warnings) == 1
     engine.preload()
     assert engine.loaded() == ["chunks", "postings", "vectors"] and engine.table("chunks").count() == 3
-    best = engine.retrieve("who does eat meat", 1).collect()
-    assert [(r.source, r["rank"]) for r in best] == [("dogs.md", 1)] and "meat" in best[0].text
+    best = engine.retrieve("who does eat meat", 2).orderBy("rank").collect()
+    assert (best[0].source, best[0]["rank"]) == ("dogs.md", 1) and "meat" in best[0].text and len(best) == 2
     asked = spark.createDataFrame([(1, "what do they eat in cats.md"), (2, "dogs run")], "query_id long, query string")
-    got = {r.query_id: r for r in engine.answer(asked, 1).collect()}
+    got = {r.query_id: r for r in engine.answer(asked, 2).collect()}
     assert got[1].sources == ["cats.md"] and "fish" in got[1].answer and "Dogs run" in got[2].answer
     engine.ingest_dir(str(tmp_path / "in"), -1)
     assert engine.loaded() == [] and engine.table("chunks").count() == 3  # replaced, not doubled
