@@ -197,7 +197,7 @@ def test_engine_from_a_folder_to_answers(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "cats.md").write_text("# Cats\nCats sleep all day.\n# Food\nCats eat fish.", encoding="utf-8")
-    (tmp_path / "in" / "dogs.md").write_text("# Dogs\nDogs run and eat meat.", encoding="utf-8")
+    (tmp_path / "in" / "dogs.md").write_text("# Dogs\nDogs run and eat meat every day.", encoding="utf-8")
     (tmp_path / "in" / "bad.md").write_bytes(b"\xff\xfe")
     engine = Engine(spark)
     done = engine.ingest_dir(str(tmp_path / "in"), -1)
