@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,17 @@ def numeric_metrics(rows: DataFrame, key: str = "query_id", describe: dict[str,
     return long.select(key, "name", F.element_at(text, F.col("name")).alias("description"), "score")
 
 
+def _four_places(score: Column) -> Column:
+    """%.4f by a number's exact value, as C prints it; Java's rounds the digits that the number is written with, so 0.00225, which is less, goes up there."""
+
+    @F.arrow_udf("string")
+    def text(scores: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "%.4f" % x for x in scores.to_pylist()], pa.string())
+
+    return text(score)
+
+
 def metric_report(metrics: DataFrame, key: str = "query_id") -> DataFrame:
     """(pos, value): a Markdown table row for each metric, scores with four places."""
-    score = F.coalesce(F.format_string("%.4f", "score"), F.lit("-"))
+    score = F.coalesce(_four_places(F.col("score")), F.lit("-"))
     return metrics.select(F.struct(key, "name").alias("pos"), F.concat(F.lit("| "), "description", F.lit(" | "), score, F.lit(" | "), "name", F.lit(" |")).alias("value"))
