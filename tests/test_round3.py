@@ -47,3 +47,32 @@ def test_documents_above_the_size_are_in_a_query_of_their_own(spark, tmp_path):
     assert [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()] == con.execute(catalogue.ORACLES[name]).fetchall() == [(1, 0, "short")]
     every = catalogue.QUERIES["chunk_md_header_all_documents"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
     assert [r.text for r in every if r.doc_id == 1] == ["short"] and "".join(r.text for r in every if r.doc_id == 2) == texts[1][1].strip()
+
+
+def test_semantic_chunks_read_each_sentence_once():
+    from folio.functions.models import HashingEmbedder
+    from folio.operators.chunking import split_semantic
+
+    class Counting(HashingEmbedder):
+        seen = 0
+
+        def bags(self, texts):
+            self.seen += sum(map(len, texts))
+            return super().bags(texts)
+
+    plain = HashingEmbedder()
+    text = "".join(f"Word{i % 7} Σίσυφος{i % 11} über_{i} 中文{i % 3}字 x{'.!,;'[i % 4]} " for i in range(400))
+    counting = Counting()
+    assert split_semantic(text, 500, "en", counting) == split_semantic(text, 500, "en", lambda t: plain(t)) and counting.seen <= len(text)
+
+
+def test_workers_hand_pieces_on_bit_by_bit(spark, monkeypatch):
+    from folio.operators import chunking as C
+
+    texts = [(i, f"{i} " + "some words. " * 300) for i in range(40)]
+    docs = spark.createDataFrame([*texts, (90, None), (91, "")], "doc_id int, text string").coalesce(1)
+    found = C._pieces(docs, "text", lambda t: C.split_recursive(t, 100, C.SEPARATORS["en"]))
+    got: dict = {}
+    for r in found.orderBy("doc_id", "pos").collect():
+        got[r.doc_id] = got.get(r.doc_id, "") + r.text
+    assert got == dict(texts)
