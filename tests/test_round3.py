@@ -76,3 +76,45 @@ def test_workers_hand_pieces_on_bit_by_bit(spark, monkeypatch):
     for r in found.orderBy("doc_id", "pos").collect():
         got[r.doc_id] = got.get(r.doc_id, "") + r.text
     assert got == dict(texts)
+
+
+def test_postings_move_no_rows(spark):
+    from folio.operators import retrieval as R
+
+    texts = [(1, "a b A c"), (2, ""), (3, None), (4, "中 文 中"), (5, "x " * 3000)]
+    post = R.postings(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.dl, r.term, r.tf) for r in post.collect())
+    assert got == [(1, 4, "a", 2), (1, 4, "b", 1), (1, 4, "c", 1), (4, 3, "中", 2), (4, 3, "文", 1), (5, 3000, "x", 3000)]
+    assert [f.simpleString() for f in post.schema.fields] == ["doc_id:bigint", "dl:int", "term:string", "tf:bigint"]
+
+
+def test_chunks_are_numbered_in_ranges(spark):
+    from pyspark.sql import Window
+
+    from folio.plans.knowledge import numbered
+
+    rows = spark.createDataFrame([(f"s{i % 3}" if i % 7 else None, (i * 37) % 500) for i in range(400)] + [("s1", None), ("s2", 10_000)], "source string, doc_id long")
+    usual = rows.withColumn("chunk_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    found = numbered(rows, "source", "doc_id")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, usual.collect()))
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number()" in x and "_piece" in x]
+    assert windows
+
+
+def test_compact_copies_vectors(spark, tmp_path):
+    from folio.sources.store import Store
+
+    made = Store(spark, str(tmp_path / "store"))
+    frame = lambda rows: spark.createDataFrame(rows, "source string, chunk_id int, text string")
+    made.add(frame([("a", 0, "x y"), ("b", 0, "z")]))
+    made.add(frame([("a", 0, "x w w")]))
+    tables = lambda: [sorted(map(repr, made.table(t).collect())) for t in ("chunks", "vectors", "postings")]
+    before = tables()
+
+    def broken(texts):
+        raise ValueError("no model")
+
+    made.embedder = broken  # compacting asks no model
+    made.compact()
+    assert tables() == before and len(made.batches()) == 1 and {r.source for r in made.registry().collect()} == {"a", "b"}
