@@ -118,3 +118,22 @@ def test_compact_copies_vectors(spark, tmp_path):
     made.embedder = broken  # compacting asks no model
     made.compact()
     assert tables() == before and len(made.batches()) == 1 and {r.source for r in made.registry().collect()} == {"a", "b"}
+
+
+def test_head_distances(spark):
+    import random
+
+    from folio.functions.text import levenshtein_similarity
+    from folio.operators.distances import head_distances
+
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("ab c") for _ in range(n))
+    heads = [(i, word(n)) for i, n in enumerate([1, 5, 63, 64, 65, 127, 128, 129, 200, 331])] + [(50, ""), (51, None)]
+    near = [(100 + i, "".join(c for c in h if rnd.random() > 0.1) + "zz") for i, h in heads if h]
+    texts = [(i, word(rnd.randint(0, 400))) for i in range(60)] + near + [(500, None), (501, ""), (502, heads[9][1])]
+    docs, asked = spark.createDataFrame(texts, "doc_id long, plain string"), spark.createDataFrame(heads, "item_id long, head string")
+    found = head_distances(docs, asked)
+    usual = docs.crossJoin(asked).select("doc_id", "item_id", levenshtein_similarity(F.col("head"), F.col("plain")).alias("s"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(found.select("doc_id", "item_id", (F.lit(1.0) - F.col("d") / F.nullif("n", F.lit(0))).alias("s"))) == rows(usual)
+    assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()
