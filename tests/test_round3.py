@@ -137,3 +137,15 @@ def test_head_distances(spark):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert rows(found.select("doc_id", "item_id", (F.lit(1.0) - F.col("d") / F.nullif("n", F.lit(0))).alias("s"))) == rows(usual)
     assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_of_a_line_change_no_match(spark):
+    from folio.functions.text import fuzzy_match, line_facts
+
+    lines = ["1.2 A b", "1.2  Ab c", "1.2.3 x", "Introductoin x", "总规，则", "a", "", None, "A 类 房屋抗震鉴定 x", "foo bar" * 30, "foo\nbar. baz"]
+    heads = ["1.2 A b", "Introduction", "总则", "", "A类房屋抗震鉴定", "foo bar" * 29, "foo bar"]
+    docs, asked = spark.createDataFrame(list(enumerate(lines)), "i int, line string"), spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "j int, head string")
+    facts = docs.select("i", "line", line_facts(F.col("line"), max(map(len, heads))).alias("facts")).crossJoin(asked)
+    bare = F.regexp_replace("head", r"(?U)\s", "")
+    both = facts.select("i", "j", fuzzy_match(F.col("head"), F.col("line")).alias("a"), fuzzy_match(F.col("head"), F.col("facts.start"), facts=F.col("facts"), bare=bare).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and sum(r.a.matched for r in both) >= 6
