@@ -149,3 +149,19 @@ def test_facts_of_a_line_change_no_match(spark):
     bare = F.regexp_replace("head", r"(?U)\s", "")
     both = facts.select("i", "j", fuzzy_match(F.col("head"), F.col("line")).alias("a"), fuzzy_match(F.col("head"), F.col("facts.start"), facts=F.col("facts"), bare=bare).alias("b")).collect()
     assert all(r.a == r.b for r in both) and sum(r.a.matched for r in both) >= 6
+
+
+def test_many_queries_find_their_best_texts_by_blocks(spark, monkeypatch):
+    import random
+
+    from folio.operators import retrieval as R
+
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"w{int(rnd.paretovariate(0.4)) % 3000}" for _ in range(n))
+    same = text(30)
+    docs = spark.createDataFrame([(i, text(rnd.randint(0, 60))) for i in range(1500)] + [(2000 + i, same) for i in range(30)] + [(3000, None)], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, text(12)) for i in range(60)] + [(70, same), (71, "nothing"), (72, "w1 w1 w1")], "query_id int, query string")
+    rows = lambda: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in R.bm25_top(docs, asked).collect())
+    usual = rows()
+    monkeypatch.setattr(R, "HITS", 0)
+    assert rows() == usual and len(usual) > 600
