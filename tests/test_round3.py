@@ -165,3 +165,17 @@ def test_many_queries_find_their_best_texts_by_blocks(spark, monkeypatch):
     usual = rows()
     monkeypatch.setattr(R, "HITS", 0)
     assert rows() == usual and len(usual) > 600
+
+
+def test_only_documents_with_objects_go_through_windows(spark, monkeypatch):
+    from folio.operators import structural as S
+
+    seen = []
+    usual = S.bind_objects
+    monkeypatch.setattr(S, "bind_objects", lambda rows: seen.extend(r.doc_id.doc_id for r in rows.select("doc_id").distinct().collect()) or usual(rows))
+    texts = [(1, "plain\n12\n## \nmore text\nand on"), (2, "# A\ntext\n## B\nmore"), (3, "x\n表 1 t\n<table><tr><td>1</td></tr></table>\ny"), (4, "# A\n![](images/a.jpg)\n图 1 z"), (5, None), (6, ""), (7, "a costs $$ 3")]
+    got = S.structural(spark.createDataFrame(texts, "doc_id long, text string"), 500).orderBy("doc_id", "chunk_id").collect()
+    assert sorted(seen) == [3, 4, 7]
+    rows = [(r.doc_id, r.type, r.text) for r in got]
+    assert (1, "text", "plain") in rows and (1, "text", "more text\n\nand on") in rows and (7, "text", "a costs $$ 3") in rows
+    assert {(r.doc_id, r.type) for r in got} == {(1, "text"), (2, "chunk"), (3, "text"), (3, "table"), (4, "chunk"), (4, "figure"), (7, "text")}
